@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, secrets, simhash
+from . import packing, phrases, quality, secrets, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +17,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": lambda s, d: quality.judge(_docs(s, d)),
         "op4_simhash_near_dedup": lambda s, d: simhash.duplicates(_docs(s, d)),
+        "op5_packing": lambda s, d: packing.pack(_docs(s, d)),
         "op6_secret_scan": lambda s, d: secrets.scan(_docs(s, d)),
+        "op7_substring_dedup": lambda s, d: phrases.passages(_docs(s, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.oracle()}
+    return {
+        "op2_quality_rules": quality.oracle(),
+        "op5_packing": packing.oracle(),
+    }
