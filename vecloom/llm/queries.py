@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, phrases, quality, secrets, simhash
+from . import fingerprint, langid, packing, phrases, quality, secrets, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +15,9 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_merkle_fingerprints": lambda s, d: fingerprint.fingerprints(_docs(s, d)),
         "op2_quality_rules": lambda s, d: quality.judge(_docs(s, d)),
+        "op3_language_id": lambda s, d: langid.identify(_docs(s, d)),
         "op4_simhash_near_dedup": lambda s, d: simhash.duplicates(_docs(s, d)),
         "op5_packing": lambda s, d: packing.pack(_docs(s, d)),
         "op6_secret_scan": lambda s, d: secrets.scan(_docs(s, d)),
@@ -25,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_merkle_fingerprints": fingerprint.oracle(),
         "op2_quality_rules": quality.oracle(),
         "op5_packing": packing.oracle(),
     }
