@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, langid, packing, phrases, quality, secrets, simhash
+from . import fingerprint, htmltext, langid, lm, packing, phrases, quality, secrets, simhash, spm
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": lambda s, d: packing.pack(_docs(s, d)),
         "op6_secret_scan": lambda s, d: secrets.scan(_docs(s, d)),
         "op7_substring_dedup": lambda s, d: phrases.passages(_docs(s, d)),
+        "op8_sentencepiece": lambda s, d: spm.encode(_docs(s, d)),
+        "op9_html_extraction": lambda s, d: htmltext.extract(s.read.parquet(f"{d}/pages.parquet")),
+        "op10_lm_scores": lambda s, d: lm.score(_docs(s, d)),
     }
 
 
