@@ -225,7 +225,11 @@ def _score(key: int, last: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
         o = np.lexsort([rows[k] for k in reversed(names)])
         rows = {k: v[o] for k, v in rows.items()}
         level, c, d = longest_matches([rows[k] for k in names], rows["next"], rows["doc"])
-        more = (level == len(names)) & (rows["place"] >= 0)
+        # a context that is matched to the end and goes on somewhere goes into the next round with all its occurrences, for they count there too
+        first = np.flatnonzero(np.r_[True, np.any([rows[k][1:] != rows[k][:-1] for k in names], axis=0)])
+        goes_on = np.repeat(np.logical_or.reduceat(rows["place"] >= 0, first), np.diff(np.r_[first, len(o)]))
+        rows["place"] = np.where(rows["place"] < 0, ~rows["place"], rows["place"])
+        more = (level == len(names)) & goes_on
         start = (rows["key"] & np.uint64(1) == 1) if key == 1 else np.zeros(len(o), bool)
         logp = _LN(d + KAPPA / VOCABULARY) - np.where(start, 0.0, _LN(c + KAPPA))
         if start.any():
