@@ -9,9 +9,9 @@ steps (8 words up to 256, then 64 up to 2048, then 512), with no upper bound.
 
 The corpus is a suffix array of reversed contexts (context, next word, document), in shards by the hash of
 their last word, so a context's occurrences are all in one shard and a shard is searched only by its own
-queries. As the documents are corpus and queries both, each query's place in the sorted shard is known, and its longest
-match and the bounds of the context's range are where the first columns change: no search goes
-outside its shard, and the work grows with the corpus, not with its square. A shard holds contexts of a few
+queries. Both bounds of a query's range are found by binary search, first for its last word, then column by column within the
+range so far, until no other document is in it: the last range with one is that of the longest match, and its entries are
+counted. The queries of a shard are searched for in their order, side by side. A shard holds contexts of a few
 words; positions still matched at that depth go into a next round, in shards by the hash of
 the context so far, with deeper columns, until none is left. Everything is moved as packed, compressed arrays.
 
@@ -184,19 +184,19 @@ def longest_matches(cols: list[np.ndarray], nxt: np.ndarray, doc: np.ndarray) ->
     """
     n = len(doc)
     level, c, d = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    new = np.zeros(n, bool)
-    new[:1] = True
-    groups, valid = [], np.ones(n, bool)
+    groups, valid, left = [], np.ones(n, bool), np.zeros(n, np.int64)
     for k, col in enumerate(cols):
-        new[1:] |= col[1:] != col[:-1]
         if k:
             valid = valid & (col != 0)
-        first = np.flatnonzero(new)
-        size = np.diff(np.r_[first, n])
+        # within the range found so far the next column ascends, so range and column together ascend over the shard
+        suffix = left.astype(np.uint64) << np.uint64(32) | col if k else col
+        left, right = np.searchsorted(suffix, suffix, "left"), np.searchsorted(suffix, suffix, "right")
+        first = np.flatnonzero(left == np.arange(n))
+        size = (right - left)[first]
         shared = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if n else np.zeros(0, bool)
         shared = np.repeat(shared, size) & valid
         level[shared] = k + 1
-        groups.append((np.repeat(np.arange(len(first)), size), np.repeat(size, size)))
+        groups.append((np.repeat(np.arange(len(first)), size), right - left))
     for k, (group, size) in enumerate(groups):
         at_level = level == k + 1
         if not at_level.any():
