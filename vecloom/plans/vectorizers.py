@@ -245,8 +245,8 @@ class Vectorizers:
         """Applies what has changed in the source since it was last looked at."""
         v, seen = self.get(vid), self._table(f"_seen_{vid}")
         staged = self._staged(changes.row_hash(v.source.read(self.spark), v.source.pk), vid)
-        version = seen.version
-        self.apply_changes(vid, changes.diff(seen.read(), staged, v.source.pk), token=f"sync-{vid}-{version}")
+        # if this breaks off here, the next time queues these keys again, which does no harm
+        self.apply_changes(vid, changes.diff(seen.read(), staged, v.source.pk))
         seen.overwrite(staged)
         self._unstage(vid)
 

@@ -121,7 +121,10 @@ class Table:
         if missing:
             raise ValueError(f"key columns that the table lacks: {missing}")
         if not files.exists(f"{path}/schema.json"):
-            files.create(f"{path}/schema.json", json.dumps({"pk": list(pk), "schema": schema.jsonValue()}))
+            try:
+                files.create(f"{path}/schema.json", json.dumps({"pk": list(pk), "schema": schema.jsonValue()}))
+            except ConflictError:
+                pass  # another made it
         return cls(spark, path)
 
     def drop(self) -> None:
