@@ -40,9 +40,9 @@ from .textbytes import blocks, mix, word_hashes, _powers
 
 KAPPA, VOCABULARY = 1.0, 1_000_000
 #: Entries of a shard, about, and documents of a bucket of sums.
-SHARD_ENTRIES, BUCKET_DOCS = 3_000_000, 20_000
+SHARD_ENTRIES, BUCKET_DOCS = 800_000, 20_000
 #: Words whose entries a task gathers before it packs them.
-FLUSH_WORDS = 2_000_000
+FLUSH_WORDS = 700_000
 _LN = np.log
 
 
@@ -196,8 +196,10 @@ def longest_matches(cols: list[np.ndarray], nxt: np.ndarray, doc: np.ndarray) ->
         shared = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if n else np.zeros(0, bool)
         shared = np.repeat(shared, size) & valid
         level[shared] = k + 1
-        groups.append((np.repeat(np.arange(len(first)), size), right - left))
-    for k, (group, size) in enumerate(groups):
+        groups.append((np.repeat(np.arange(len(first), dtype=np.int32), size), (right - left).astype(np.int32)))
+    while groups:
+        k = len(groups) - 1
+        group, size = groups.pop()
         at_level = level == k + 1
         if not at_level.any():
             continue
@@ -219,11 +221,12 @@ def _score(key: int, last: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
     def score(table: pa.Table) -> pa.Table:
         kinds = _kinds(last - key)
         loads = [_unpack(memoryview(x.as_buffer()), kinds) for x in table["load"]]
-        rows = {k: np.concatenate([x[k] for x in loads]) for k, _ in kinds}
+        rows = {k: np.concatenate([x.pop(k) for x in loads]) for k, _ in kinds}
         del loads
         names = ["key", *[f"t{k}" for k in range(last - key)]]
         o = np.lexsort([rows[k] for k in reversed(names)])
-        rows = {k: v[o] for k, v in rows.items()}
+        for k in rows:  # column by column: a sorted one takes the place of its former self
+            rows[k] = rows[k][o]
         level, c, d = longest_matches([rows[k] for k in names], rows["next"], rows["doc"])
         # a context that is matched to the end and goes on somewhere goes into the next round with all its occurrences, for they count there too
         first = np.flatnonzero(np.r_[True, np.any([rows[k][1:] != rows[k][:-1] for k in names], axis=0)])
