@@ -3,7 +3,8 @@
 A paragraph is a line. A section ends at a blank line, before a heading (a line that begins with ``#``),
 and after a paragraph whose hash begins with the digit 0, one in sixteen: the last rule gives long plain texts
 sections too, and an edit moves no borders but those it touches. Hashes are SHA-256 in hex, told
-apart by level: ``P`` + paragraph, ``S`` + its paragraphs' hashes, ``D`` + its sections' hashes.
+apart by level: ``P`` + paragraph, ``S`` + its paragraphs' hashes, ``D`` + its sections' hashes. Of a root all 256 bits
+are kept; to compare branches, the first 128 of a section's hash and, between two documents only, the first 64 of a paragraph's.
 Equal roots mean equal texts. Where roots differ, only sections whose hashes differ are opened, and in them only
 paragraphs whose hashes differ: those are the edits.
 
@@ -33,22 +34,37 @@ def trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return rows.select("doc_id", F.sha2(F.concat(F.lit("D"), F.array_join("sections", ",")), 256).alias("root"), "sections", "paragraphs")
 
 
+def packed(tree: DataFrame) -> DataFrame:
+    """A tree as it is kept and moved: root in 32 bytes, sections in 16 each, and of each section its paragraphs in 8 each, one after the other."""
+    return tree.select(
+        "doc_id",
+        F.unhex("root").alias("root"),
+        F.expr("transform(sections, s -> unhex(left(s, 32)))").alias("sections"),
+        F.expr("transform(paragraphs, s -> unhex(regexp_replace(s, '([0-9a-f]{16})[0-9a-f]{48},?', '$1')))").alias("paragraphs"),
+    )
+
+
+def _hashes(paragraphs: str) -> str:
+    """The hashes in the packed paragraphs of a section."""
+    return f"transform(sequence(1, octet_length({paragraphs}), 8), i -> substring({paragraphs}, i, 8))"
+
+
 def edits(pairs: DataFrame) -> DataFrame:
     """key, section, paragraph (from 0) of what ``sections``/``paragraphs`` have and ``base_sections``/``base_paragraphs`` lack.
 
-    pairs: key and both trees. Branches with equal hashes aren't opened.
+    pairs: key and both trees, packed. Branches with equal hashes aren't opened.
     """
     differing = pairs.where(F.size(F.array_except("sections", "base_sections")) > 0)
     mine = differing.select("key", F.array_except("sections", "base_sections").alias("new"), F.posexplode(F.arrays_zip("sections", "paragraphs")).alias("section", "x"))
-    mine = mine.where(F.array_contains("new", F.col("x.sections")))
-    mine = mine.select("key", "section", F.posexplode(F.split("x.paragraphs", ",")).alias("paragraph", "h"))
-    there = differing.select("key", F.explode(F.array_distinct(F.flatten(F.transform("base_paragraphs", lambda s: F.split(s, ","))))).alias("h"))
+    mine = mine.where(F.array_contains("new", F.col("x.sections"))).select("key", "section", F.col("x.paragraphs").alias("p"))
+    mine = mine.select("key", "section", F.posexplode(F.expr(_hashes("p"))).alias("paragraph", "h"))
+    there = differing.select("key", F.explode(F.array_distinct(F.flatten(F.expr(f"transform(base_paragraphs, s -> {_hashes('s')})")))).alias("h"))
     return mine.join(there, ["key", "h"], "left_anti").select("key", "section", "paragraph")
 
 
 def compare(left: DataFrame, right: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, section, paragraph of what each document of ``left`` has that its version in ``right`` lacks; ids not null and not repeated."""
-    a, b = trees(left, id_col, text_col), trees(right, id_col, text_col)
+    a, b = packed(trees(left, id_col, text_col)), packed(trees(right, id_col, text_col))
     b = b.select("doc_id", F.col("root").alias("base_root"), F.col("sections").alias("base_sections"), F.col("paragraphs").alias("base_paragraphs"))
     pairs = a.join(b, "doc_id").where("root <> base_root").withColumnRenamed("doc_id", "key")
     return edits(pairs).withColumnRenamed("key", "doc_id")
@@ -60,23 +76,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     original, n_copies: the smallest id with this root, and the number of rows with it. base: the smallest id, below
     the original's, of another root that shares a section, -1 if there is none; edits: ``section.paragraph`` of what is not in the base, in order.
     """
-    tree = written(trees(docs, id_col, text_col))
-    size = F.expr("aggregate(paragraphs, 0L, (n, s) -> n + size(split(s, ',')))")
+    tree = written(packed(trees(docs, id_col, text_col)))
+    size = F.expr("aggregate(paragraphs, 0L, (n, s) -> n + octet_length(s) div 8)")
     small = tree.select("doc_id", "root", F.size("sections").cast("long").alias("n_sections"), size.alias("n_paragraphs"))
     roots = tree.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("original"), F.count("*").alias("n_copies"))
-    own = tree.join(roots.where("original IS NOT NULL").select("root", F.col("original").alias("doc_id")), ["root", "doc_id"]).dropDuplicates(["doc_id", "root"])
+    # of rows with one root and id any will do; a map side combine keeps copies from being moved
+    own = written(tree.where("root IS NOT NULL AND doc_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "sections", "paragraphs")).alias("o")).select("root", "o.*"))
     held = own.select("doc_id", "root", F.explode(F.array_distinct("sections")).alias("section"))
     first = held.groupBy("section").agg(F.min(F.struct("doc_id", "root")).alias("f"))
     base = held.join(first, "section").where("f.doc_id < doc_id").groupBy("doc_id", "root").agg(F.min("f").alias("f"))
+    base = written(base)
     other = own.select(F.struct("doc_id", "root").alias("f"), F.col("sections").alias("base_sections"), F.col("paragraphs").alias("base_paragraphs"))
-    pairs = own.join(base, ["doc_id", "root"]).join(other, "f").select("root", "f", "sections", "paragraphs", "base_sections", "base_paragraphs")
+    pairs = own.join(base, ["doc_id", "root"]).join(other, "f").select("root", "sections", "paragraphs", "base_sections", "base_paragraphs")
     found = edits(pairs.withColumnRenamed("root", "key")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("section", "paragraph"))).alias("e"))
     said = F.array_join(F.transform("e", lambda x: F.concat_ws(".", x["section"], x["paragraph"])), ",")
     found = found.select(F.col("key").alias("root"), said.alias("edits"))
     of_root = roots.join(base.select("root", F.col("f.doc_id").alias("base")), "root", "left").join(found, "root", "left")
     of_root = of_root.select("root", "original", "n_copies", "base", F.when(F.col("base").isNotNull(), F.coalesce("edits", F.lit(""))).alias("edits"))
     return small.join(of_root, "root", "left").select(
-        "doc_id", "root", "n_sections", "n_paragraphs", "original", "n_copies", F.coalesce("base", F.lit(-1)).cast("long").alias("base"), "edits"
+        "doc_id", F.lower(F.hex("root")).alias("root"), "n_sections", "n_paragraphs", "original", "n_copies", F.coalesce("base", F.lit(-1)).cast("long").alias("base"), "edits"
     )
 
 
