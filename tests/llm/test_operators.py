@@ -524,6 +524,48 @@ def test_lm_scores(spark, awkward, empty):
     assert lm.score(empty).count() == 0
 
 
+def brute_document_scores(rows):
+    """Contexts back to the start of the document."""
+    docs = {i: re.findall(r"[^\x00-\x20]+", t) for i, t in rows}
+    depths = [lm.depth(k) for k in range(1, 200)]
+    contexts, follow = defaultdict(Counter), defaultdict(Counter)
+    for i, ws in docs.items():
+        for k, w in enumerate(ws):
+            for n in (d for d in depths if d <= k):
+                contexts[tuple(ws[k - n : k])][i] += 1
+                follow[tuple(ws[k - n : k + 1])][i] += 1
+    first = Counter(ws[0] for ws in docs.values())
+    out = {}
+    for i, ws in docs.items():
+        logp = math.log(first[ws[0]] - 1 + lm.KAPPA / lm.VOCABULARY) - math.log(len(docs) - 1 + lm.KAPPA)
+        total = 0
+        for k, w in enumerate(ws[1:], 1):
+            c = d = best = 0
+            for n in (d for d in depths if d <= k):
+                x = contexts[tuple(ws[k - n : k])]
+                if sum(x.values()) == x[i]:
+                    break
+                f = follow[tuple(ws[k - n : k + 1])]
+                c, d, best = sum(x.values()) - x[i], sum(f.values()) - f[i], n
+            total += best
+            logp += math.log(d + lm.KAPPA / lm.VOCABULARY) - math.log(c + lm.KAPPA)
+        out[i] = (len(ws), logp, total / len(ws))
+    return out
+
+
+def test_lm_contexts_cross_sentences_and_lines(spark, tmp_path):
+    few = [f"w{i}" for i in range(12)]
+    rows = [(i, ".\n".join(words(i * 7 + k, 9, few) for k in range(4)) + "!") for i in range(12)]
+    shared = ". ".join(words(900 + k, 7, few) for k in range(45)) + "."
+    rows += [(20, shared), (21, f"x y. {shared} Z"), (22, rows[3][1] + "\nmore"), (23, "alone")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.queries()["op10_lm_scores"](spark, str(tmp_path)).collect()}
+    want = brute_document_scores(rows)
+    assert set(got) == set(want) and got[20]["mean_context"] > 100
+    for i, (n, logp, mean) in want.items():
+        assert got[i]["n_words"] == n and got[i]["log_prob"] == pytest.approx(logp, rel=1e-9) and got[i]["mean_context"] == pytest.approx(mean)
+
+
 def test_names():
     found = queries.queries()
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in found) == list(range(1, 11)) and set(queries.oracle_sql()) <= set(found)

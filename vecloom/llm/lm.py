@@ -1,9 +1,9 @@
 """Unbounded n-gram scores of every document against all the others.
 
-Each word is predicted from the longest context before it, within its sentence, that some *other* document
-holds too. With ``c`` the occurrences of that context in other documents, and ``d`` those that the word
+Each word is predicted from the longest context before it, back to the start of its document or, with ``sentences``,
+of its sentence, that some *other* document holds too. With ``c`` the occurrences of that context in other documents, and ``d`` those that the word
 follows, ``p = (d + KAPPA / VOCABULARY) / (c + KAPPA)``: what the corpus says, smoothed towards a uniform word.
-A sentence's first word has the start of a sentence as its context; where not even the last word is found
+The first word of a document (with ``sentences``, of a sentence) has that start as its context; where not even the last word is found
 elsewhere, ``c = d = 0``. Context lengths are exact up to 32 words; beyond that they count in
 steps (8 words up to 256, then 64 up to 2048, then 512), with no upper bound.
 
@@ -15,11 +15,11 @@ counted. The queries of a shard are searched for in their order, side by side. A
 words; positions still matched at that depth go into a next round, in shards by the hash of
 the context so far, with deeper columns, until none is left. Everything is moved as packed, compressed arrays.
 
-A word is a run of bytes above 0x20 as it stands; a sentence ends after a word that ends in ``.``, ``!`` or ``?`` and at a line end.
+A word is a run of bytes above 0x20 as it stands; with ``sentences``, a sentence ends after a word that ends in ``.``, ``!`` or ``?`` and at a line end.
 
 Defined results
 * null, empty and blank texts: no words, log probability 0, perplexity null;
-* rows with a null id are neither scored nor part of the corpus; rows that repeat an id are one document, scored in sum;
+* rows with a null id are neither scored nor part of the corpus; rows that repeat an id are one document, their texts one after the other in order, scored in sum;
 * an empty table gives an empty result; other columns are ignored; texts are scored whole at any length;
 * a lone document, or one that shares nothing with others, scores ``KAPPA / VOCABULARY / KAPPA`` a word, but for first words.
 """
@@ -79,6 +79,11 @@ def sentence_places(data: np.ndarray, off: np.ndarray, starts: np.ndarray, ends:
     return np.arange(n) - np.repeat(where, np.diff(np.r_[where, n]))
 
 
+def document_places(at: np.ndarray) -> np.ndarray:
+    """Place in its document, from 0, of every word of a block."""
+    return np.arange(at[-1]) - np.repeat(at[:-1], np.diff(at))
+
+
 def _context(total: np.ndarray, inverse: np.ndarray, i: np.ndarray, near: int, far: int) -> np.ndarray:
     """Hash of the words at distances near+1..far before each of i."""
     return mix((total[i - near] - total[i - far]) * inverse[i - far])
@@ -113,7 +118,7 @@ def _split(to: np.ndarray, rows: dict[str, np.ndarray], order: tuple[np.ndarray,
     return to[cut], [_pack({k: v[s:e] for k, v in rows.items()}) for s, e in zip(cut, [*cut[1:], len(to)])]
 
 
-def _entries(key: int, last: int, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _entries(key: int, last: int, shards: int, sentences: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(shard, load) of suffixes. Batches: doc_id, text and, after the first round, the live places of each text (over all rows of an id)."""
     first = key == 1
 
@@ -133,7 +138,7 @@ def _entries(key: int, last: int, shards: int) -> Callable[[Iterator[pa.RecordBa
                 h, starts, ends, at = word_hashes(data, off)
                 if not len(h):
                     continue
-                place = sentence_places(data, off, starts, ends, at)
+                place = sentence_places(data, off, starts, ends, at) if sentences else document_places(at)
                 doc = np.repeat(np.arange(len(off) - 1), np.diff(at))
                 if first:
                     i = np.arange(len(h))
@@ -146,7 +151,7 @@ def _entries(key: int, last: int, shards: int) -> Callable[[Iterator[pa.RecordBa
                 known = place[i]
                 j = np.maximum(i, depth(key))
                 code = _context(total, inverse, j, 0, depth(key))
-                if first:  # a first word is looked up by itself, as the sole continuation of the start of a sentence
+                if first:  # a first word is looked up by itself, as the sole continuation of a start
                     code = np.where(known > 0, code & ~np.uint64(1), mix(h[i]) | np.uint64(1))
                 rows = {"key": code}
                 for k, slot in enumerate(range(key + 1, last + 1)):
@@ -280,11 +285,14 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(doc[first]), **{k: pa.array(v) for k, v in sums.items()}, "live": lists})
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, log_prob, perplexity, mean_context of every document with an id."""
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: bool = True) -> DataFrame:
+    """doc_id, n_words, log_prob, perplexity, mean_context of every document with an id.
+
+    ``sentences``: contexts end where a sentence begins; otherwise only where the document does.
+    """
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col).where("doc_id IS NOT NULL")
-    # places of live words are within a row's text, so the texts of a repeated id become one, sentence ends between them
+    # places of live words are within a row's text, so the texts of a repeated id become one, line ends between them
     size = rows.agg(F.count("*"), F.countDistinct("doc_id"), F.sum(F.octet_length("text"))).first()
     if size[0] != size[1]:
         rows = rows.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
@@ -293,7 +301,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     for key, last in rounds():
         shards = max(1, min(entries, 1 << 40) // SHARD_ENTRIES)
         source = rows if found is None else rows.join(found[-1].where(F.size("live") > 0).select("doc_id", "live"), "doc_id")
-        sent = source.mapInArrow(_entries(key, last, shards), "shard long, load binary").repartition(shards, "shard")
+        sent = source.mapInArrow(_entries(key, last, shards, sentences), "shard long, load binary").repartition(shards, "shard")
         scored = sent.groupBy("shard").applyInArrow(_score(key, last, buckets), "bucket long, load binary").repartition(buckets, "bucket")
         table = written(scored.groupBy("bucket").applyInArrow(_summed, "doc_id long, n long, starts long, logp double, words long, live array<int>"))
         found = [*(found or []), table]

@@ -24,7 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_substring_dedup": lambda s, d: phrases.passages(_docs(s, d)),
         "op8_sentencepiece": lambda s, d: spm.encode(_docs(s, d)),
         "op9_html_extraction": lambda s, d: htmltext.extract(s.read.parquet(f"{d}/pages.parquet")),
-        "op10_lm_scores": lambda s, d: lm.score(_docs(s, d)),
+        "op10_lm_scores": lambda s, d: lm.score(_docs(s, d), sentences=False),
     }
 
 
