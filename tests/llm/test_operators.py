@@ -344,6 +344,23 @@ def test_secrets(awkward, empty, small):
     assert secrets.redact(awkward).count() == len(AWKWARD) and secrets.scan(empty).count() == 0 and secrets.redact(empty).count() == 0
 
 
+def test_cards_and_ibans_need_no_word_before_them(spark):
+    rng = np.random.default_rng(6)
+    for k in range(3000):
+        number = "".join(map(str, rng.integers(0, 10, int(rng.integers(12, 21)))))
+        text = f"{'x' if k % 2 else 'on '}{number}{'$$' if k % 3 else ' by'}"
+        issued = number[0] in "46" or 50 <= int(number[:2]) <= 58 or 34 <= int(number[:2]) <= 39 or 300 <= int(number[:3]) <= 305 or 2200 <= int(number[:4]) <= 2204 or 2221 <= int(number[:4]) <= 2720
+        want = [(text.index(number), text.index(number) + len(number))] if issued and secrets.luhn(number) else []
+        assert [f[1:3] for f in secrets.scanner().find(text) if f[0] == "card_number"] == want, text
+    for number in ("4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005", "378282246310005"):
+        assert [(f[0], f[1], f[2]) for f in secrets.scanner().find(f"pay {number} 12 now")] == [("card_number", 4, 4 + len(number))], number
+    for number in ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB29NWBK60161331926819", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606"):
+        assert [f[:3] for f in secrets.scanner().find(f"to {number} EUR 5")] == [("iban", 3, 3 + len(number))], number
+        assert secrets.scanner().find("to " + number[:2] + ("9" if number[2] != "9" else "8") + number[3:]) == []
+    docs = spark.createDataFrame([(1, "a 4845168114407329 b")], "doc_id long, text string")
+    assert secrets.redact(docs).first()["text"] == "a [card_number] b"
+
+
 # 7 --------------------------------------------------------------------------------------------------------------
 
 
