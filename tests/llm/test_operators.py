@@ -128,6 +128,19 @@ def test_compare_locates_edits(spark):
     assert [tuple(r) for r in fingerprint.compare(new, old).collect()] == [(1, 0, 1)]
 
 
+def test_near_copies_of_one_section_have_a_base(spark, small):
+    rows = [(1, "a\nb\nc\nd"), (2, "a\nb\nX\nY"), (3, "a\nb\nc\nD"), (4, "a\nq\nr\ns"), (5, "e\nf"), (6, "e")]
+    got = {r["doc_id"]: (r["base"], r["edits"]) for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), by_paragraphs=True).collect()}
+    assert {i: b for i, (b, _) in got.items()} == {1: -1, 2: 1, 3: 1, 4: -1, 5: -1, 6: 5}
+    lines = {i: t.split("\n") for i, t in rows}
+    assert [len(got[i][1].split(",")) for i in (2, 3)] == [len(set(lines[i]) - set(lines[1])) for i in (2, 3)] and got[6][1] == ""
+    have = {r["doc_id"]: r["base"] for r in fingerprint.fingerprints(small, by_paragraphs=True).collect() if r["doc_id"] == r["original"]}
+    sets = {i: set(t.split("\n")) - {""} for i, t in texts_of(small) if i in have}
+    for i, mine in sets.items():
+        near = [(-len(mine & other), j) for j, other in sets.items() if j < i and mine and 2 * len(mine & other) >= len(mine)]
+        assert not near or have[i] == min(near)[1]
+
+
 # 2 --------------------------------------------------------------------------------------------------------------
 
 

@@ -17,7 +17,7 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import texts, written
@@ -70,11 +70,31 @@ def compare(left: DataFrame, right: DataFrame, id_col: str = "doc_id", text_col:
     return edits(pairs).withColumnRenamed("key", "doc_id")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def nearest_by_paragraphs(own: DataFrame) -> DataFrame:
+    """doc_id, root, f (id and root): of the texts with smaller ids that have half of a text's distinct paragraphs at least, the one that has most; ties by id.
+
+    own: packed trees of different roots. Empty paragraphs don't count. A text that shares half of its n paragraphs shares one of any n div 2 + 1,
+    so only its rarest ones are looked up. Texts of nothing but common paragraphs still meet in pairs.
+    """
+    every = F.array_distinct(F.flatten(F.expr(f"transform(paragraphs, s -> {_hashes('s')})")))
+    sets = written(own.select("doc_id", "root", F.filter(every, lambda h: h != F.expr("substring(unhex(sha2('P', 256)), 1, 8)")).alias("hs")))
+    lines = sets.select("doc_id", "root", F.size("hs").alias("n"), F.explode("hs").alias("h"))
+    lines = lines.join(lines.groupBy("h").agg(F.count("*").alias("often")), "h")
+    lines = written(lines.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy("often", "h"))).where("often > 1"))
+    there = lines.select("h", F.struct("doc_id", "root").alias("f"))
+    pairs = lines.where("rank <= n div 2 + 1").join(there, "h").where("f.doc_id < doc_id").select("root", "f").distinct()
+    pairs = pairs.join(sets, "root").join(sets.select(F.struct("doc_id", "root").alias("f"), F.col("hs").alias("base_hs")), "f")
+    shared = pairs.select("doc_id", "root", "f", F.size("hs").alias("n"), F.size(F.array_intersect("hs", "base_hs")).alias("shared"))
+    best = shared.where("2 * shared >= n").groupBy("doc_id", "root").agg(F.min(F.struct(-F.col("shared"), "f")).alias("best"))
+    return best.select("doc_id", "root", "best.f")
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_paragraphs: bool = False) -> DataFrame:
     """doc_id, root, n_sections, n_paragraphs, original, n_copies, base, edits.
 
     original, n_copies: the smallest id with this root, and the number of rows with it. base: the smallest id, below
     the original's, of another root that shares a section, -1 if there is none; edits: ``section.paragraph`` of what is not in the base, in order.
+    by_paragraphs: the base is that of :func:`nearest_by_paragraphs`, and the one above where that finds none.
     """
     tree = written(packed(trees(docs, id_col, text_col)))
     size = F.expr("aggregate(paragraphs, 0L, (n, s) -> n + octet_length(s) div 8)")
@@ -85,6 +105,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held = own.select("doc_id", "root", F.explode(F.array_distinct("sections")).alias("section"))
     first = held.groupBy("section").agg(F.min(F.struct("doc_id", "root")).alias("f"))
     base = held.join(first, "section").where("f.doc_id < doc_id").groupBy("doc_id", "root").agg(F.min("f").alias("f"))
+    if by_paragraphs:
+        near = nearest_by_paragraphs(own).withColumnRenamed("f", "near")
+        base = base.join(near, ["doc_id", "root"], "full").select("doc_id", "root", F.coalesce("near", "f").alias("f"))
     base = written(base)
     other = own.select(F.struct("doc_id", "root").alias("f"), F.col("sections").alias("base_sections"), F.col("paragraphs").alias("base_paragraphs"))
     pairs = own.join(base, ["doc_id", "root"]).join(other, "f").select("root", "sections", "paragraphs", "base_sections", "base_paragraphs")
