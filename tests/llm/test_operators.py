@@ -423,6 +423,17 @@ def test_a_shared_run_is_found_wherever_it_lies(spark, shift):
     assert {(r["doc_id"], r["start"], r["end"], r["n_words"], r["is_first"]) for r in got} == brute_passages(rows, 50)
 
 
+@pytest.mark.parametrize("more", [100_000, 1_200_000])
+def test_occurrences_with_more_words_than_characters(more):
+    from vecloom.llm.textbytes import mix, window_hashes
+
+    h = mix(np.arange(1, more + 41, dtype=np.uint64))
+    h = np.concatenate([h, h[-40:-10], h[:30]])
+    k = window_hashes(h, 25)
+    found = list(phrases.occurrences(h, np.array([0, len(h)]), k, [k[more : more + 6]], 25))
+    assert [(d, p.tolist()) for d, p in found] == [(0, [*range(more, more + 6), *range(more + 40, more + 46)])]
+
+
 # 8 --------------------------------------------------------------------------------------------------------------
 
 

@@ -40,6 +40,8 @@ from .textbytes import blocks, window_hashes, word_hashes
 LENGTH, SEED = 50, 25
 #: Phrases in an automaton, about: a node takes some 50 bytes and a phrase has SEED nodes at most.
 SHARD_PHRASES = 40_000
+#: Different words of a shard that one character each can stand for.
+CHARACTERS = 0x10F000
 #: Runs in a range of hashes that one task counts, about.
 RANGE_RUNS = 2_000_000
 
@@ -76,13 +78,16 @@ def _seed_batches(length: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]]
 def occurrences(h: np.ndarray, at: np.ndarray, k: np.ndarray, wanted: list[np.ndarray], seed: int) -> Iterator[tuple[int, np.ndarray]]:
     """(text, places) of every occurrence of a recurring phrase, by automata over words.
 
-    h: words of the texts, k: hashes of their phrases, wanted: the recurring phrases of each text. A word is a character.
+    h: words of the texts, k: hashes of their phrases, wanted: the recurring phrases of each text. A word is a character,
+    or two, of which the first is never a second one, where there are more words than characters.
     """
     words, code = np.unique(h, return_inverse=True)
-    code = code + 0x20
-    code[code >= 0xD800] += 0x800  # no surrogates
-    if len(words) > 0x10F000:
-        raise ValueError("more different words in a shard than there are characters")
+    width = 1 if len(words) <= CHARACTERS else 2
+    if width == 1:
+        code = code + 0x20
+        code[code >= 0xD800] += 0x800  # no surrogates
+    else:
+        code = np.stack([0x20 + (code >> 15), 0x10000 + (code & 0x7FFF)], 1).ravel()
     text = code.astype("<u4").tobytes().decode("utf-32-le")
     n, doc = len(at) - 1, 0
     while doc < n:
@@ -90,7 +95,7 @@ def occurrences(h: np.ndarray, at: np.ndarray, k: np.ndarray, wanted: list[np.nd
         while doc < n and (doc == first or len(phrases) < SHARD_PHRASES):
             lo, hi = int(at[doc]), int(at[doc + 1]) - seed + 1
             for p in (np.flatnonzero(np.isin(k[lo:hi], wanted[doc])) + lo if hi > lo else ()):
-                phrases[text[p : p + seed]] = None
+                phrases[text[width * p : width * (p + seed)]] = None
             doc += 1
         automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for phrase in phrases:
@@ -100,7 +105,7 @@ def occurrences(h: np.ndarray, at: np.ndarray, k: np.ndarray, wanted: list[np.nd
         automaton.make_automaton()
         for d in range(first, doc):
             lo = int(at[d])
-            hits = [end - seed + 1 for end, _ in automaton.iter(text[lo : int(at[d + 1])])]
+            hits = [end // width - seed + 1 for end, _ in automaton.iter(text[width * lo : width * int(at[d + 1])])]
             if hits:
                 yield d, lo + np.array(hits, np.int64)
 
