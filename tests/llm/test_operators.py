@@ -496,115 +496,83 @@ def test_html_smoothing_by_hand():
 
 
 def brute_scores(rows):
+    """Every context of every length, counted document by document."""
     docs = defaultdict(list)
     for i, t in rows:
         if i is not None:
             docs[i].append(t or "")
-    sentences = {}
-    for i, parts in docs.items():
-        sentences[i] = []
-        for line in "\n".join(sorted(parts)).split("\n"):
-            now = []
-            for w in re.findall(r"[^\x00-\x20]+", line):
-                now.append(w)
-                if w[-1] in ".!?":
-                    sentences[i].append(now)
-                    now = []
-            if now:
-                sentences[i].append(now)
+    docs = {i: ["<s>", *re.findall(r"[^\x00-\x20]+", "\n".join(sorted(parts)))] for i, parts in docs.items()}
     counts = defaultdict(Counter)  # context -> document -> occurrences
-    follow = defaultdict(Counter)
-    starts = Counter()
-    for i, ss in sentences.items():
-        for s in ss:
-            starts[i] += 1
-            for k, w in enumerate(s):
-                for n in range(0 if k == 0 else 1, k + 1):
-                    context = ("<s>",) if k == 0 else tuple(s[k - n : k])
-                    counts[context][i] += 1
-                    follow[context + (w,)][i] += 1
+    for i, ws in docs.items():
+        for k in range(len(ws)) if len(ws) > 1 else ():
+            for n in range(1, k + 2):
+                counts[tuple(ws[k + 1 - n : k + 1])][i] += 1
+    elsewhere = lambda g, i: sum(counts[g].values()) - counts[g][i] if g in counts else 0
+    words_in = {i: len(ws) - 1 for i, ws in docs.items()}
     out = {}
-    every = sum(starts.values())
-    for i, ss in sentences.items():
-        logp = n = total = 0
-        for s in ss:
-            for k, w in enumerate(s):
-                n += 1
-                if k == 0:
-                    f = follow["<s>", w]
-                    logp += math.log(sum(f.values()) - f[i] + lm.KAPPA / lm.VOCABULARY) - math.log(every - starts[i] + lm.KAPPA)
-                    continue
-                c = d = best = 0
-                for m in range(1, k + 1):
-                    x = counts[tuple(s[k - m : k])]
-                    if sum(x.values()) == x[i]:
-                        break
-                    f = follow[tuple(s[k - m : k]) + (w,)]
-                    c, d, best = sum(x.values()) - x[i], sum(f.values()) - f[i], m
-                total += best
-                logp += math.log(d + lm.KAPPA / lm.VOCABULARY) - math.log(c + lm.KAPPA)
+    for i, ws in docs.items():
+        logp = total = 0
+        for k in range(1, len(ws)):
+            length = 0
+            while length < k and elsewhere(tuple(ws[k - length - 1 : k]), i):
+                length += 1
+            c = elsewhere(tuple(ws[k - length : k]), i) if length else sum(words_in.values()) - words_in[i]
+            d = elsewhere(tuple(ws[k - length : k + 1]), i)
+            total += length
+            logp += math.log(d + lm.KAPPA / lm.VOCABULARY) - math.log(c + lm.KAPPA)
+        n = words_in[i]
         out[i] = (n, logp, total / n if n else None)
     return out
 
 
-def test_lm_scores(spark, awkward, empty):
-    few = [f"w{i}" for i in range(12)]
-    rows = [(i, ". ".join(words(i * 7 + k, 9, few) for k in range(4)) + ".") for i in range(25)]
-    rows += [(30, rows[3][1]), (31, rows[3][1] + " more"), (32, None), (33, ""), (34, "alone"), (35, "a b. c"), (35, "w1 w2"), (None, "w1 w2 w3")]
-    rows = [(i, t) for i, t in rows]
-    got = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    want = brute_scores(rows)
+def check_scores(got, want):
+    got = {r["doc_id"]: r for r in got}
     assert set(got) == set(want)
     for i, (n, logp, mean) in want.items():
         r = got[i]
-        assert r["n_words"] == n and r["log_prob"] == pytest.approx(logp, rel=1e-9, abs=1e-9)
-        assert (r["mean_context"] is None) == (mean is None) and (mean is None or r["mean_context"] == pytest.approx(mean))
+        assert r["n_words"] == n and r["log_prob"] == pytest.approx(logp, rel=1e-9, abs=1e-9), i
+        assert (r["mean_context"] is None) == (mean is None) and (mean is None or r["mean_context"] == pytest.approx(mean)), i
         assert (r["perplexity"] is None) == (n == 0) and (n == 0 or r["perplexity"] == pytest.approx(math.exp(-logp / n)))
-    out = {r["doc_id"] for r in lm.score(awkward.where("doc_id IS NULL OR doc_id <> 6")).collect()}
-    assert out == {i for i, *_ in AWKWARD if i is not None and i != 6}
-    assert lm.score(empty).count() == 0
+    return got
 
 
-def brute_document_scores(rows):
-    """Contexts back to the start of the document."""
-    docs = {i: re.findall(r"[^\x00-\x20]+", t) for i, t in rows}
-    depths = [lm.depth(k) for k in range(1, 200)]
-    contexts, follow = defaultdict(Counter), defaultdict(Counter)
-    for i, ws in docs.items():
-        for k, w in enumerate(ws):
-            for n in (d for d in depths if d <= k):
-                contexts[tuple(ws[k - n : k])][i] += 1
-                follow[tuple(ws[k - n : k + 1])][i] += 1
-    first = Counter(ws[0] for ws in docs.values())
-    out = {}
-    for i, ws in docs.items():
-        logp = math.log(first[ws[0]] - 1 + lm.KAPPA / lm.VOCABULARY) - math.log(len(docs) - 1 + lm.KAPPA)
-        total = 0
-        for k, w in enumerate(ws[1:], 1):
-            c = d = best = 0
-            for n in (d for d in depths if d <= k):
-                x = contexts[tuple(ws[k - n : k])]
-                if sum(x.values()) == x[i]:
-                    break
-                f = follow[tuple(ws[k - n : k + 1])]
-                c, d, best = sum(x.values()) - x[i], sum(f.values()) - f[i], n
-            total += best
-            logp += math.log(d + lm.KAPPA / lm.VOCABULARY) - math.log(c + lm.KAPPA)
-        out[i] = (len(ws), logp, total / len(ws))
-    return out
+FEW = [f"w{i}" for i in range(12)]
 
 
-def test_lm_contexts_cross_sentences_and_lines(spark, tmp_path):
-    few = [f"w{i}" for i in range(12)]
-    rows = [(i, ".\n".join(words(i * 7 + k, 9, few) for k in range(4)) + "!") for i in range(12)]
-    shared = ". ".join(words(900 + k, 7, few) for k in range(45)) + "."
-    rows += [(20, shared), (21, f"x y. {shared} Z"), (22, rows[3][1] + "\nmore"), (23, "alone")]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r for r in queries.queries()["op10_lm_scores"](spark, str(tmp_path)).collect()}
-    want = brute_document_scores(rows)
-    assert set(got) == set(want) and got[20]["mean_context"] > 100
-    for i, (n, logp, mean) in want.items():
-        assert got[i]["n_words"] == n and got[i]["log_prob"] == pytest.approx(logp, rel=1e-9) and got[i]["mean_context"] == pytest.approx(mean)
+def test_lm_scores(spark, awkward, empty):
+    rows = [(i, ". ".join(words(i * 7 + k, 9, FEW) for k in range(4)) + ".") for i in range(25)]
+    rows += [(30, rows[3][1]), (31, rows[3][1] + " more"), (32, None), (33, ""), (34, "alone"), (35, "a b. c"), (35, "w1 w2"), (36, " \n"), (None, "w1 w2 w3")]
+    check_scores(lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect(), brute_scores(rows))
+    assert lm.score(empty).count() == 0
+    (lone,) = lm.score(spark.createDataFrame([(1, "a b a")], "doc_id long, text string")).collect()
+    assert lone["perplexity"] == pytest.approx(lm.VOCABULARY / lm.KAPPA * lm.KAPPA) and lone["mean_context"] == 0
+
+
+@pytest.mark.parametrize("block", [60, lm.BLOCK_WORDS])
+def test_lm_contexts_of_any_length(spark, tmp_path, monkeypatch, block):
+    """Shared runs of 40, 63, 65 and 600 words amid others, copies, near copies and nested ends, over blocks and shards of any size."""
+    monkeypatch.setattr(lm, "BLOCK_WORDS", block)
+    monkeypatch.setattr(lm, "SHARD_CONTEXTS", 50 * block)
+    runs = {n: words(100 + n, n, FEW + WORDS[:60]) for n in (40, 63, 65, 600)}
+    rows = [(i, f"{words(200 + i, 7, FEW)} {runs[n]} {words(300 + i, 5 + i, FEW)}") for i, n in enumerate((40, 40, 63, 63, 65, 65, 65, 600, 600))]
+    rows += [(20 + k, " ".join(runs[600].split()[: 30 * k + 1]) + f" end{k}") for k in range(1, 9)]  # many ends along one run
+    rows += [(40 + k, " ".join(runs[600].split()[17 * k :])) for k in range(6)]  # many beginnings
+    near = runs[600].split()
+    rows += [(60 + k, " ".join("zz" if i % 41 == k else w for i, w in enumerate(near))) for k in range(4)]
+    rows += [(80, runs[63]), (81, runs[63]), (82, f"{runs[63]} {runs[63]}"), (83, "alone")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = check_scores(queries.queries()["op10_lm_scores"](spark, str(tmp_path)).collect(), brute_scores(rows))
+    assert got[7]["mean_context"] > 200
+
+
+def test_lm_very_long_texts(spark, awkward):
+    rows = [r for r in texts_of(awkward) if r[0] is not None]
+    got = {r["doc_id"]: r for r in lm.score(awkward).collect()}
+    assert set(got) == {i for i, _ in rows} and got[6]["n_words"] == 60_000
+    twice = [(1, LONG), (2, LONG + " end"), (3, "other words")]
+    got = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(twice, "doc_id long, text string")).collect()}
+    assert got[1]["mean_context"] == pytest.approx(sum(range(1, 60_001)) / 60_000)  # all that came before, each time
+    assert got[1]["log_prob"] == pytest.approx(-math.log(3.0) + math.log(1 + 1e-6) + 59_999 * (math.log(1 + 1e-6) - math.log(2)), rel=1e-9)
 
 
 def test_names():

@@ -10,10 +10,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: Sequence[str] = ()) -> DataFrame:
     """Only the columns that an operator reads, id as long and text as string.
 
@@ -27,10 +31,12 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; a local one only where that is unset and there are no other machines."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         local = tempfile.mkdtemp(prefix="vecloom-")
         atexit.register(shutil.rmtree, local, True)
         sc.setCheckpointDir(local)
@@ -40,12 +46,38 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet to the shared folder and read again, and its path. Gone when the session ends; its shuffle files go at once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    try:
+        if before is not None:
+            spark.conf.set(_CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
+    files, where = _file_system(spark, path)
+    files.deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table of :func:`stored` that nothing reads any more."""
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` by way of the shared folder: cuts lineage, survives lost executors."""
+    return stored(df)[0]
 
 
 def large_list(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -55,5 +87,24 @@ def large_list(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa
     return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(values, kind))
 
 
-def both(a: Column, b: Column) -> Column:
-    return F.when(a.isNull(), b).otherwise(F.when(b.isNull(), a).otherwise(F.least(a, b)))
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays one after the other, each compressed by itself, in as few bytes a number as it needs."""
+    z, parts = zstandard.ZstdCompressor(level=1), []
+    for x in arrays:
+        if x.dtype.kind in "iu" and len(x):
+            small = np.promote_types(np.min_scalar_type(x.min()), np.min_scalar_type(x.max()))
+            x = x.astype(small) if small.itemsize < x.dtype.itemsize else x
+        load = z.compress(np.ascontiguousarray(x).tobytes())
+        parts += [x.dtype.str.encode().ljust(4), len(load).to_bytes(4, "little"), load]
+    return b"".join(parts)
+
+
+def unpacked(load: memoryview) -> list[np.ndarray]:
+    """The arrays of :func:`packed`; whole numbers have 64 bits again."""
+    z, i, out = zstandard.ZstdDecompressor(), 0, []
+    while i < len(load):
+        kind, size = np.dtype(bytes(load[i : i + 4]).decode().strip()), int.from_bytes(load[i + 4 : i + 8], "little")
+        x = np.frombuffer(z.decompress(load[i + 8 : i + 8 + size]), kind)
+        out.append(x if kind.kind == "f" else x.astype(np.uint64 if kind == np.uint64 else np.int64))
+        i += 8 + size
+    return out

@@ -1,329 +1,309 @@
 """Unbounded n-gram scores of every document against all the others.
 
-Each word is predicted from the longest context before it, back to the start of its document or, with ``sentences``,
-of its sentence, that some *other* document holds too. With ``c`` the occurrences of that context in other documents, and ``d`` those that the word
-follows, ``p = (d + KAPPA / VOCABULARY) / (c + KAPPA)``: what the corpus says, smoothed towards a uniform word.
-The first word of a document (with ``sentences``, of a sentence) has that start as its context; where not even the last word is found
-elsewhere, ``c = d = 0``. Context lengths are exact up to 32 words; beyond that they count in
-steps (8 words up to 256, then 64 up to 2048, then 512), with no upper bound.
-
-The corpus is a suffix array of reversed contexts (context, next word, document), in shards by the hash of
-their last word, so a context's occurrences are all in one shard and a shard is searched only by its own
-queries. Both bounds of a query's range are found by binary search, first for its last word, then column by column within the
-range so far, until no other document is in it: the last range with one is that of the longest match, and its entries are
-counted. The queries of a shard are searched for in their order, side by side. A shard holds contexts of a few
-words; positions still matched at that depth go into a next round, in shards by the hash of
-the context so far, with deeper columns, until none is left. Everything is moved as packed, compressed arrays.
-
-A word is a run of bytes above 0x20 as it stands; with ``sentences``, a sentence ends after a word that ends in ``.``, ``!`` or ``?`` and at a line end.
+Each word is predicted from the longest context before it, back to the start of its document, that some *other* document
+holds too; the start itself counts as a word of the context. With ``c`` the occurrences of that context in other documents (at their ends too), and
+``d`` those that the word follows, ``p = (d + KAPPA / VOCABULARY) / (c + KAPPA)``: what the corpus says, smoothed towards a uniform
+word. The empty context occurs before every word of the other documents. Context lengths are exact, whatever they are.
+
+A context's occurrences are counted in suffix arrays: sorted arrays of the corpus' contexts (as 64-bit hashes of a length and that many
+words), sharded by hash, so that all suffixes that agree in so many words are one range of one shard. A block of documents sends each of its
+contexts once, with its number, and is answered with the width of the range, found by binary search; what a document holds itself it subtracts.
+The longest matching context is found by a search over lengths. All words ask for 1 and 2; those matched at 2 for 3 and 4, at 4 for 8, 16 and 32, at 32
+for all powers of two up to the start; then the gaps are halved twice a round until the lengths are known to the word.
+A context matched at both ends of a gap by as many occurrences asks no more there, as none of them can end in between; all others ask along, so every
+count is complete. The continuation count needs no search of its own: a word that follows its context elsewhere has itself a match that is longer by one.
+
+Equal texts are one text with a weight. Rounds move only hashes and counts; of the words a block keeps those that open contexts reach. No task holds a
+document's copies, or all occurrences of a context: blocks count theirs before they send.
+
+A word is a run of bytes above 0x20 as it stands. 64-bit hashes stand for contexts.
 
 Defined results
-* null, empty and blank texts: no words, log probability 0, perplexity null;
+* null, empty and blank texts: no words, log probability 0, perplexity and mean context null;
 * rows with a null id are neither scored nor part of the corpus; rows that repeat an id are one document, their texts one after the other in order, scored in sum;
 * an empty table gives an empty result; other columns are ignored; texts are scored whole at any length;
-* a lone document, or one that shares nothing with others, scores ``KAPPA / VOCABULARY / KAPPA`` a word, but for first words.
+* equal contexts of one document (ties) are each scored; a lone document scores ``1 / VOCABULARY`` a word.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import large_list, texts, written
+from .frames import discard, packed, stored, texts, unpacked, written
 from .textbytes import blocks, mix, word_hashes, _powers
 
 KAPPA, VOCABULARY = 1.0, 1_000_000
-#: Entries of a shard, about, and documents of a bucket of sums.
-SHARD_ENTRIES, BUCKET_DOCS = 800_000, 20_000
-#: Words whose entries a task gathers before it packs them.
-FLUSH_WORDS = 700_000
-_LN = np.log
-
-
-def depth(slot: int) -> int:
-    """Words in the context of a slot, from 0."""
-    if slot <= 32:
-        return slot
-    if slot <= 32 + 28:
-        return 32 + 8 * (slot - 32)
-    if slot <= 32 + 28 + 28:
-        return 256 + 64 * (slot - 60)
-    return 2048 + 512 * (slot - 88)
-
-
-def rounds() -> Iterator[tuple[int, int]]:
-    """(slot of the key, last slot) of each round."""
-    key, last = 1, 3
-    while True:
-        yield key, last
-        key, last = last, last + min(5 + (last - 3), 16)
-
-
-def sentence_places(data: np.ndarray, off: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Place in its sentence, from 0, of every word of a block."""
-    n = len(starts)
-    if not n:
-        return np.zeros(0, np.int64)
-    last = data[ends - 1]
-    lines = np.r_[0, np.cumsum(data == 10)]
-    begin = np.ones(n, bool)
-    begin[1:] = (last[:-1] == 46) | (last[:-1] == 33) | (last[:-1] == 63) | (lines[starts[1:]] > lines[ends[:-1]])
-    begin[at[:-1][np.diff(at) > 0]] = True
-    where = np.flatnonzero(begin)
-    return np.arange(n) - np.repeat(where, np.diff(np.r_[where, n]))
-
-
-def document_places(at: np.ndarray) -> np.ndarray:
-    """Place in its document, from 0, of every word of a block."""
-    return np.arange(at[-1]) - np.repeat(at[:-1], np.diff(at))
-
-
-def _context(total: np.ndarray, inverse: np.ndarray, i: np.ndarray, near: int, far: int) -> np.ndarray:
-    """Hash of the words at distances near+1..far before each of i."""
-    return mix((total[i - near] - total[i - far]) * inverse[i - far])
-
+#: Words of a block, and contexts of a shard, about.
+BLOCK_WORDS, SHARD_CONTEXTS = 400_000, 1_000_000
+#: Lengths that the first rounds ask for; the next asks for all further powers of two.
+LEVELS = ((1, 2), (3, 4), (8, 16, 32))
+_START = np.uint64(0x51A27B1E5E2C9D37)
+_ANSWER = "block long, shard long, load binary"
+
+
+class Block:
+    """Documents by their words, and how far the search has come."""
+
+    FIELDS = ("key", "at", "weight", "dictionary", "code", "size", "count", "done", "sum", "context", "live", "top", "gap", "low", "high", "n_low", "n_high")
+
+    def __init__(self, load: memoryview) -> None:
+        self.__dict__.update(zip(self.FIELDS, unpacked(load)))
+        self.key, self.dictionary = self.key.reshape(-1, 2), self.dictionary.astype(np.uint64)
+        n = len(self.code)
+        self.doc = np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+        self.place = np.arange(n) - self.at[self.doc]
+        for name in ("size", "count", "done"):
+            setattr(self, name, getattr(self, name).copy())
+
+    @classmethod
+    def load_of(cls, key: np.ndarray, lengths: np.ndarray, weight: np.ndarray, h: np.ndarray) -> bytes:
+        dictionary, code = np.unique(h, return_inverse=True)
+        n, docs, none = len(h), len(lengths), np.zeros(0, np.int64)
+        zeros = np.zeros(n, np.int64)
+        return packed(key.ravel(), np.r_[0, np.cumsum(lengths)], weight, dictionary, code, zeros, zeros, zeros, np.zeros(docs), np.zeros(docs), np.arange(n), *[none] * 6)
+
+    def load(self) -> bytes:
+        return packed(*[getattr(self, k).ravel() for k in self.FIELDS])
+
+    def asked(self, levels: tuple[int, ...] | None) -> tuple[np.ndarray, np.ndarray]:
+        """Where the contexts end that this round asks for, and their lengths; by place in ladders, by gap afterwards."""
+        if levels is not None:
+            where, n = np.repeat(self.live, len(levels)), np.tile(np.asarray(levels, np.int64), len(self.live))
+        else:
+            step = self.high - self.low
+            n = np.stack([self.low + step * j // 4 for j in (1, 2, 3)], 1)
+            n[:, 1:][n[:, 1:] == n[:, :-1]] = 0
+            n[n <= self.low[:, None]] = 0
+            where, n = np.repeat(self.gap, 3), n.ravel()
+        return where, np.where(n <= self.place[where] + 1, n, 0)
+
+    def counted(self, where: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct contexts (ascending), their weighted number in the block, of each asked one its rank among them and its number in its document."""
+        h = self.dictionary[self.code]
+        power, inverse = _powers(len(h) + 1)
+        total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * power[: len(h)], out=total[1:])
+        begin = where + 1 - n
+        key = mix(mix((total[where + 1] - total[begin]) * inverse[begin]) + n.astype(np.uint64))
+        o = np.argsort(key, kind="stable")
+        key, doc = key[o], self.doc[where[o]]
+        new = np.r_[True, key[1:] != key[:-1]] if len(o) else np.zeros(0, bool)
+        of_doc = np.flatnonzero(new | np.r_[True, doc[1:] != doc[:-1]]) if len(o) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[of_doc, len(o)])
+        rank, own = np.empty(len(o), np.int64), np.empty(len(o), np.int64)
+        rank[o], own[o] = np.cumsum(new) - 1, np.repeat(size, size)
+        first = np.flatnonzero(new)
+        weight = np.add.reduceat(self.weight[doc], first) if len(o) else np.zeros(0, np.int64)
+        return key[first], weight, rank, own
+
+    def learn(self, levels: tuple[int, ...] | None, before: int, then: bool, where: np.ndarray, n: np.ndarray, total: np.ndarray, own: np.ndarray) -> None:
+        """Takes the counts of what was asked: ``n`` 0 for what could not be. ``before``: the last level of the ladder before; ``then``: another one follows."""
+        shared = total > own
+        better = np.flatnonzero(shared & (n > self.size[where]))
+        better = better[np.lexsort((n[better], where[better]))]
+        self.size[where[better]], self.count[where[better]] = n[better], (total - own)[better]  # of several the last, longest one stays
+        if levels is not None:
+            width = len(levels)
+            n, total, shared = (x.reshape(-1, width) for x in (np.tile(np.asarray(levels, np.int64), len(self.live)), total, shared))
+            low = np.column_stack([np.full(len(n), before), n[:, :-1]])
+            n_low = np.column_stack([self.top if len(self.top) else np.zeros(len(n), np.int64), total[:, :-1]])
+            open_ = np.column_stack([np.full(len(n), before > 0), shared[:, :-1]])
+            at, high, n_high = np.repeat(self.live, width).reshape(-1, width), n, total
+            if not then and len(n):  # what matches at the last level has the next one, which no document reaches, above it
+                at, low, high = (np.column_stack([x, y]) for x, y in ((at, self.live), (low, n[:, -1]), (high, 2 * n[:, -1])))
+                n_low, n_high, open_ = (np.column_stack([x, y]) for x, y in ((n_low, total[:, -1]), (n_high, np.zeros(len(n), np.int64)), (open_, shared[:, -1])))
+            self.live, self.top = (self.live[shared[:, -1]], total[shared[:, -1], -1]) if then and len(n) else (self.live[:0], self.top[:0])
+            old = [getattr(self, k) for k in ("gap", "low", "high", "n_low", "n_high")]
+        else:
+            n, total, shared = (x.reshape(-1, 3) for x in (n, total, shared))
+            # what could not be asked, as it is the one before or goes beyond the start, bounds no gap
+            n_all, t_all = [self.low], [self.n_low]
+            s_all = [np.ones(len(n), bool)]
+            step = self.high - self.low
+            for j in range(3):
+                there = self.low + step * (j + 1) // 4
+                same = there == n_all[-1]
+                n_all.append(there)
+                t_all.append(np.where(same, t_all[-1], total[:, j]))
+                s_all.append(np.where(same, s_all[-1], shared[:, j]))
+            n_all.append(self.high)
+            t_all.append(self.n_high)
+            low, n_low, open_ = np.column_stack(n_all[:4]), np.column_stack(t_all[:4]), np.column_stack(s_all)
+            high, n_high = np.column_stack(n_all[1:]), np.column_stack(t_all[1:])
+            at = np.repeat(self.gap, 4).reshape(-1, 4)
+            old = [np.zeros(0, np.int64)] * 5
+        some = open_ & (high - low > 1) & (n_low != n_high) & (low <= self.place[at])
+        for k, before, now in zip(("gap", "low", "high", "n_low", "n_high"), old, (at, low, high, n_low, n_high)):
+            setattr(self, k, np.r_[before, now[some]])
+
+    def settle(self, words: int) -> None:
+        """Scores the words whose context and own match are known, and forgets what is needed no more. words: of the corpus."""
+        n = len(self.code)
+        known = np.ones(n, bool)
+        known[self.live] = False
+        known[self.gap] = False
+        i = np.flatnonzero((self.place > 0) & (self.done == 0) & known & np.r_[False, known[:-1]])
+        length, mine = self.size[i - 1], np.diff(self.at) - 1
+        c = np.where(length > 0, self.count[i - 1], words - mine[self.doc[i]])
+        d = np.where(self.size[i] == length + 1, self.count[i], 0)
+        logp = np.log(d + KAPPA / VOCABULARY) - np.log(c + KAPPA)
+        self.sum = self.sum + np.bincount(self.doc[i], logp, len(self.sum))
+        self.context = self.context + np.bincount(self.doc[i], length, len(self.sum))
+        self.done[i] = 1
+        spent = (self.done == 1) | (self.place == 0)  # as a prediction; as a context when the next one is
+        spent &= np.r_[spent[1:], True] | np.r_[self.place[1:] == 0, True]
+        self.size[spent] = 0
+        self.count[spent] = 0
+        reach = np.zeros(n + 1, np.int64)  # the words that open contexts reach
+        for where, most in ((self.live, self.place[self.live] + 1), (self.gap, np.minimum(self.high, self.place[self.gap] + 1))):
+            np.add.at(reach, where + 1 - most, 1)
+            np.add.at(reach, where + 1, -1)
+        out = np.cumsum(reach[:-1]) == 0
+        used = np.zeros(len(self.dictionary), bool)
+        used[self.code[~out]] = True
+        self.code = np.where(out, 0, np.cumsum(used)[self.code])
+        self.dictionary = np.r_[np.uint64(0), self.dictionary[used]]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, words, longest, load. Batches: key (16 bytes), weight and text of different texts."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    k, base = 0, TaskContext.get().partitionId() << 32
+
+    def flush() -> pa.RecordBatch:
+        nonlocal k
+        key, lengths, weight, h = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        k += 1
+        said = int(((lengths - 1) * weight).sum()), int(lengths.max())
+        return pa.RecordBatch.from_pydict({"block": [base + k], "words": [said[0]], "longest": [said[1]], "load": [Block.load_of(key, lengths, weight, h)]})
+
+    for batch in batches:
+        keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64).reshape(-1, 2)
+        weights = batch.column(1).to_numpy()
+        for i, data, off in blocks(batch.column(2)):
+            h, _, _, at = word_hashes(data, off)
+            lengths = np.diff(at)
+            some = lengths > 0
+            if some.any():
+                h = np.insert(h, at[:-1][some], _START)
+                held.append((keys[i : i + len(lengths)][some], lengths[some] + 1, weights[i : i + len(lengths)][some], h))
+                if sum(len(x[3]) for x in held) >= BLOCK_WORDS:
+                    yield flush()
+    if held:
+        yield flush()
 
-def _pack(rows: dict[str, np.ndarray]) -> bytes:
-    """Columns in order, each compressed by itself."""
-    z = zstandard.ZstdCompressor(level=1)
-    n = np.array([len(rows["doc"])], np.int64).tobytes()
-    parts = [z.compress(np.ascontiguousarray(x).tobytes()) for x in rows.values()]
-    return n + b"".join(len(p).to_bytes(4, "little") + p for p in parts)
 
+def _planes(x: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers as differences, byte by byte."""
+    return packed(np.ascontiguousarray(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).ravel())
 
-def _unpack(load: memoryview, kinds: list[tuple[str, type]]) -> dict[str, np.ndarray]:
-    z, i, out = zstandard.ZstdDecompressor(), 8, {}
-    for name, kind in kinds:
-        size = int.from_bytes(load[i : i + 4], "little")
-        out[name] = np.frombuffer(z.decompress(load[i + 4 : i + 4 + size]), kind)
-        i += 4 + size
-    return out
 
+def _from_planes(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(x.astype(np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
-def _kinds(columns: int) -> list[tuple[str, type]]:
-    return [("key", np.uint64), *[(f"t{k}", np.uint32) for k in range(columns)], ("next", np.uint32), ("place", np.int32), ("doc", np.int64)]
 
+def _ask(levels: tuple[int, ...] | None, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """shard, block, load: the distinct contexts of each block for each shard, and their numbers."""
 
-def _split(to: np.ndarray, rows: dict[str, np.ndarray], order: tuple[np.ndarray, ...]) -> tuple[np.ndarray, list[bytes]]:
-    """Rows by where they go, sorted by ``order`` within."""
-    o = np.lexsort((*order, to))
-    to, rows = to[o], {k: v[o] for k, v in rows.items()}
-    cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
-    return to[cut], [_pack({k: v[s:e] for k, v in rows.items()}) for s, e in zip(cut, [*cut[1:], len(to)])]
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, load in zip(batch.column(0).to_pylist(), batch.column(1)):
+                b = Block(memoryview(load.as_buffer()))
+                where, n = b.asked(levels)
+                key, weight, _, _ = b.counted(where[n > 0], n[n > 0])
+                to = (key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+                cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
+                ends = [*cut[1:], len(to)]
+                loads = [len(p := _planes(key[s:e])).to_bytes(8, "little") + p + packed(weight[s:e]) for s, e in zip(cut, ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(to[cut].astype(np.int64)), pa.array(np.full(len(cut), block)), pa.array(loads, pa.binary())], ["shard", "block", "load"])
+
+    return ask
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """The suffix array of a shard, and the width of each asked context's range in it."""
+    asked, weights = [], []
+    for x in table["load"]:
+        load = memoryview(x.as_buffer())
+        n = 8 + int.from_bytes(load[:8], "little")
+        asked.append(_from_planes(unpacked(load[8:n])[0]))
+        weights.append(unpacked(load[n:])[0])
+    every, weight = np.concatenate(asked), np.concatenate(weights)
+    o = np.argsort(every, kind="stable")
+    suffixes, upto = every[o], np.r_[0, np.cumsum(weight[o])]
+    loads = [packed(upto[np.searchsorted(suffixes, x, "right")] - upto[np.searchsorted(suffixes, x, "left")]) for x in asked]
+    return pa.table({"block": table["block"], "shard": table["shard"], "load": pa.array(loads, pa.binary())})
+
+
+def _learn(levels: tuple[int, ...] | None, before: int, then: bool, words: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """block, load, open (contexts still asked for) from a block and its answers."""
+
+    def learn(state: pa.Table, answers: pa.Table) -> pa.Table:
+        b = Block(memoryview(state["load"][0].as_buffer()))
+        where, n = b.asked(levels)
+        ok = n > 0
+        _, _, rank, own = b.counted(where[ok], n[ok])
+        parts = [unpacked(memoryview(answers["load"][int(k)].as_buffer()))[0] for k in np.argsort(answers["shard"].to_numpy())] if len(answers) else []
+        total, mine = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        if parts:
+            total[ok], mine[ok] = np.concatenate(parts)[rank], own
+        b.learn(levels, before, then, where, n, total, mine)
+        b.settle(words)
+        return pa.table({"block": state["block"], "load": pa.array([b.load()], pa.binary()), "open": pa.array([3 * (len(b.live) + len(b.gap))], pa.int64())})
 
+    return learn
 
-def _entries(key: int, last: int, shards: int, sentences: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(shard, load) of suffixes. Batches: doc_id, text and, after the first round, the live places of each text (over all rows of an id)."""
-    first = key == 1
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[dict[str, np.ndarray]] = []
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for load in batch.column(0):
+            b = Block(memoryview(load.as_buffer()))
+            raw = np.ascontiguousarray(b.key).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([raw[16 * k : 16 * k + 16] for k in range(len(b.key))], pa.binary()), pa.array(np.diff(b.at) - 1), pa.array(b.sum), pa.array(b.context)], ["key", "n", "logp", "context"])
 
-        def flush() -> pa.RecordBatch:
-            rows = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-            parts.clear()
-            shard, load = _split((rows["key"] % np.uint64(shards)).astype(np.int64), rows, (rows["key"],))
-            return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(load, pa.binary())], ["shard", "load"])
 
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            live = None if first else batch.column(2).to_pylist()
-            for r, data, off in blocks(batch.column(1)):
-                h, starts, ends, at = word_hashes(data, off)
-                if not len(h):
-                    continue
-                place = sentence_places(data, off, starts, ends, at) if sentences else document_places(at)
-                doc = np.repeat(np.arange(len(off) - 1), np.diff(at))
-                if first:
-                    i = np.arange(len(h))
-                else:
-                    i = np.concatenate([at[d] + np.asarray(live[r + d], np.int64) for d in range(len(off) - 1)])
-                    i = i[place[i] >= depth(key)]
-                power, inverse = _powers(len(h) + 1)
-                total = np.zeros(len(h) + 1, np.uint64)
-                np.cumsum(h * power[: len(h)], out=total[1:])
-                known = place[i]
-                j = np.maximum(i, depth(key))
-                code = _context(total, inverse, j, 0, depth(key))
-                if first:  # a first word is looked up by itself, as the sole continuation of a start
-                    code = np.where(known > 0, code & ~np.uint64(1), mix(h[i]) | np.uint64(1))
-                rows = {"key": code}
-                for k, slot in enumerate(range(key + 1, last + 1)):
-                    ok, t = known >= depth(slot), np.zeros(len(i), np.uint32)
-                    t[ok] = (_context(total, inverse, i[ok], depth(slot - 1), depth(slot)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-                    rows[f"t{k}"] = t
-                rows["next"] = (h[i] >> np.uint64(32)).astype(np.uint32)
-                # after the last column, whether there is more context: the sign of place
-                rows["place"] = np.where(known >= depth(last + 1), i - at[doc[i]], ~(i - at[doc[i]])).astype(np.int32)
-                rows["doc"] = ids[r + doc[i]]
-                parts.append(rows)
-                if sum(len(p["doc"]) for p in parts) >= FLUSH_WORDS:
-                    yield flush()
-        if parts:
-            yield flush()
-
-    return gather
-
-
-def _run_counts(keys: np.ndarray) -> np.ndarray:
-    """For each row, how many have its key."""
-    o = np.argsort(keys)
-    s = keys[o]
-    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    size = np.diff(np.r_[first, len(s)])
-    out = np.empty(len(keys), np.int64)
-    out[o] = np.repeat(size, size)
-    return out
-
-
-def longest_matches(cols: list[np.ndarray], nxt: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(columns matched, occurrences, occurrences with this next word) in other documents, of each suffix of a sorted shard.
-
-    cols: key and tokens, ascending as a whole; a token 0 is no token.
-    """
-    n = len(doc)
-    level, c, d = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    groups, valid, left = [], np.ones(n, bool), np.zeros(n, np.int64)
-    for k, col in enumerate(cols):
-        if k:
-            valid = valid & (col != 0)
-        # within the range found so far the next column ascends, so range and column together ascend over the shard
-        suffix = left.astype(np.uint64) << np.uint64(32) | col if k else col
-        left, right = np.searchsorted(suffix, suffix, "left"), np.searchsorted(suffix, suffix, "right")
-        first = np.flatnonzero(left == np.arange(n))
-        size = (right - left)[first]
-        shared = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if n else np.zeros(0, bool)
-        shared = np.repeat(shared, size) & valid
-        level[shared] = k + 1
-        groups.append((np.repeat(np.arange(len(first), dtype=np.int32), size), (right - left).astype(np.int32)))
-    while groups:
-        k = len(groups) - 1
-        group, size = groups.pop()
-        at_level = level == k + 1
-        if not at_level.any():
-            continue
-        wanted = np.zeros(group[-1] + 1, bool)
-        wanted[group[at_level]] = True
-        rows = np.flatnonzero(wanted[group])
-        g = group[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        who, word = mix(doc[rows].view(np.uint64)), nxt[rows].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        here = at_level[rows]
-        out = rows[here]
-        c[out] = (size[rows] - _run_counts(mix(g + who)))[here]
-        d[out] = (_run_counts(mix(g ^ word)) - _run_counts(mix(mix(g ^ word) + who)))[here]
-    return level, c, d
-
-
-def _score(key: int, last: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
-    """(bucket, load) of what a shard finds: rows of doc, place or -1, words, first words, log probability, context words."""
-
-    def score(table: pa.Table) -> pa.Table:
-        kinds = _kinds(last - key)
-        loads = [_unpack(memoryview(x.as_buffer()), kinds) for x in table["load"]]
-        rows = {k: np.concatenate([x.pop(k) for x in loads]) for k, _ in kinds}
-        del loads
-        names = ["key", *[f"t{k}" for k in range(last - key)]]
-        o = np.lexsort([rows[k] for k in reversed(names)])
-        for k in rows:  # column by column: a sorted one takes the place of its former self
-            rows[k] = rows[k][o]
-        level, c, d = longest_matches([rows[k] for k in names], rows["next"], rows["doc"])
-        # a context that is matched to the end and goes on somewhere goes into the next round with all its occurrences, for they count there too
-        first = np.flatnonzero(np.r_[True, np.any([rows[k][1:] != rows[k][:-1] for k in names], axis=0)])
-        goes_on = np.repeat(np.logical_or.reduceat(rows["place"] >= 0, first), np.diff(np.r_[first, len(o)]))
-        rows["place"] = np.where(rows["place"] < 0, ~rows["place"], rows["place"])
-        more = (level == len(names)) & goes_on
-        start = (rows["key"] & np.uint64(1) == 1) if key == 1 else np.zeros(len(o), bool)
-        logp = _LN(d + KAPPA / VOCABULARY) - np.where(start, 0.0, _LN(c + KAPPA))
-        if start.any():
-            logp[start] = _LN(c[start] + KAPPA / VOCABULARY)  # of a first word all occurrences follow the start
-        words = np.array([0, *[depth(key + k) for k in range(len(names))]])[level]
-        words[start] = 0
-        done = ~more
-        doc = rows["doc"][done]
-        o = np.argsort(doc, kind="stable")
-        doc = doc[o]
-        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-        total = lambda x: np.add.reduceat(x[done][o], first) if len(first) else np.zeros(0)
-        n = np.diff(np.r_[first, len(doc)])
-        k = int(more.sum())
-        none = np.zeros(k, np.int32)
-        out = {
-            "place": np.r_[np.full(len(first), -1, np.int32), rows["place"][more].astype(np.int32)],
-            "n": np.r_[n.astype(np.int32), none],
-            "starts": np.r_[total(start.astype(np.int32)).astype(np.int32), none],
-            "logp": np.r_[total(logp), np.zeros(k)],
-            "words": np.r_[total(words.astype(np.int64)).astype(np.int64), none],
-            "doc": np.r_[doc[first], rows["doc"][more]],
-        }
-        to = (mix(out["doc"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        bucket, load = _split(to, out, (out["place"], out["doc"]))
-        return pa.table({"bucket": pa.array(bucket, pa.int64()), "load": pa.array(load, pa.binary())})
-
-    return score
-
-
-_FOUND = [("place", np.int32), ("n", np.int32), ("starts", np.int32), ("logp", np.float64), ("words", np.int64), ("doc", np.int64)]
-
-
-def _summed(table: pa.Table) -> pa.Table:
-    """doc_id, n, starts, logp, words, live of the documents of a bucket."""
-    loads = [_unpack(memoryview(x.as_buffer()), _FOUND) for x in table["load"]]
-    rows = {k: np.concatenate([x[k] for x in loads]) for k, _ in _FOUND}
-    o = np.lexsort((rows["logp"], rows["place"], rows["doc"]))  # sums don't depend on the order of arrival
-    rows = {k: v[o] for k, v in rows.items()}
-    doc = rows["doc"]
-    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    live = rows["place"] >= 0
-    lists = large_list(rows["place"][live], np.add.reduceat(live.astype(np.int64), first), pa.int32())
-    sums = {k: np.add.reduceat(rows[k].astype(kind), first) for k, kind in (("n", np.int64), ("starts", np.int64), ("logp", np.float64), ("words", np.int64))}
-    return pa.table({"doc_id": pa.array(doc[first]), **{k: pa.array(v) for k, v in sums.items()}, "live": lists})
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: bool = True) -> DataFrame:
-    """doc_id, n_words, log_prob, perplexity, mean_context of every document with an id.
-
-    ``sentences``: contexts end where a sentence begins; otherwise only where the document does.
-    """
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, log_prob, perplexity, mean_context of every document with an id."""
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col).where("doc_id IS NOT NULL")
-    # places of live words are within a row's text, so the texts of a repeated id become one, line ends between them
-    size = rows.agg(F.count("*"), F.countDistinct("doc_id"), F.sum(F.octet_length("text"))).first()
+    size = rows.agg(F.count("*"), F.countDistinct("doc_id")).first()
     if size[0] != size[1]:
         rows = rows.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
-    buckets = max(1, size[1] // BUCKET_DOCS)
-    entries, found = (size[2] or 0) // 6, None
-    for key, last in rounds():
-        shards = max(1, min(entries, 1 << 40) // SHARD_ENTRIES)
-        source = rows if found is None else rows.join(found[-1].where(F.size("live") > 0).select("doc_id", "live"), "doc_id")
-        sent = source.mapInArrow(_entries(key, last, shards, sentences), "shard long, load binary").repartition(shards, "shard")
-        scored = sent.groupBy("shard").applyInArrow(_score(key, last, buckets), "bucket long, load binary").repartition(buckets, "bucket")
-        table = written(scored.groupBy("bucket").applyInArrow(_summed, "doc_id long, n long, starts long, logp double, words long, live array<int>"))
-        found = [*(found or []), table]
-        entries = table.agg(F.sum(F.size("live"))).first()[0] or 0
-        del source, sent, scored
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()  # the shuffle files of a round go with its plan
-        if not entries:
-            break
-    every = found[0].drop("live")
-    for table in found[1:]:
-        every = every.unionByName(table.drop("live"))
-    per = every.groupBy("doc_id").agg(*[F.sum(k).alias(k) for k in ("n", "starts", "words")], F.array_sort(F.collect_list("logp")).alias("logs"))
-    starts = found[0].agg(F.coalesce(F.sum("starts"), F.lit(0)).alias("all")).first()["all"]
-    logp = F.aggregate("logs", F.lit(0.0), lambda a, x: a + x) - F.col("starts") * F.log(F.lit(float(starts)) - F.col("starts") + F.lit(KAPPA))
-    ids = rows.select("doc_id").distinct()
-    out = ids.join(per.select("doc_id", "n", logp.alias("logp"), "words"), "doc_id", "left")
+    rows = rows.select("doc_id", "text", F.unhex(F.md5("text")).alias("key"))
+    different = rows.where("text IS NOT NULL").groupBy("key").agg(F.count("*").alias("weight"), F.first("text").alias("text"))
+    table, path = stored(different.select("key", "weight", "text").mapInArrow(_blocks, "block long, words long, longest long, load binary"))
+    words, longest = table.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("longest"), F.lit(0))).first()
+    more = [64]
+    while 2 * more[-1] <= longest:
+        more.append(2 * more[-1])
+    ladders = [*LEVELS, tuple(more)]
+    waiting, round_ = words, 0
+    while waiting:
+        levels = ladders[round_] if round_ < len(ladders) else None
+        before, then = ladders[round_ - 1][-1] if 0 < round_ < len(ladders) else 0, round_ + 1 < len(ladders)
+        shards = max(1, waiting // SHARD_CONTEXTS)
+        asked = table.select("block", "load").mapInArrow(_ask(levels, shards), "shard long, block long, load binary")
+        answers = asked.groupBy("shard").applyInArrow(_answer, _ANSWER)
+        learned = table.select("block", "load").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_learn(levels, before, then, words), "block long, load binary, open long")
+        old = path
+        table, path = stored(learned)
+        discard(spark, old)
+        waiting = table.agg(F.sum("open")).first()[0] or 0
+        round_ += 1
+    found = written(table.select("load").mapInArrow(_scored, "key binary, n long, logp double, context double"))
+    discard(spark, path)
     n = F.coalesce("n", F.lit(0))
-    return out.select(
+    return rows.select("doc_id", "key").join(found, "key", "left").select(
         "doc_id",
         n.alias("n_words"),
         F.coalesce("logp", F.lit(0.0)).alias("log_prob"),
         F.when(n > 0, F.exp(-F.col("logp") / n)).alias("perplexity"),
-        F.when(n > 0, F.col("words") / n).alias("mean_context"),
+        F.when(n > 0, F.col("context") / n).alias("mean_context"),
     )
