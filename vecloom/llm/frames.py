@@ -52,25 +52,36 @@ def _file_system(spark: SparkSession, path: str) -> tuple:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` written as Parquet to the shared folder and read again, and its path. Gone when the session ends; its shuffle files go at once."""
+def stored(df: DataFrame, by: str | None = None) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet to the shared folder and read again, and its path. Gone when the session ends; its shuffle files go at once.
+
+    ``by``: in as many buckets by this column as shuffles have partitions, so that grouping by it again moves nothing; a table of the catalog until :func:`discard`.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     try:
         if before is not None:
             spark.conf.set(_CLEANUP, "true")
-        df.write.parquet(path)
+        if by:
+            df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).format("parquet").saveAsTable(_name(path))
+        else:
+            df.write.parquet(path)
     finally:
         if before is not None:
             spark.conf.set(_CLEANUP, before)
     files, where = _file_system(spark, path)
     files.deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path), path
+    return spark.table(_name(path)) if by else spark.read.schema(df.schema).parquet(path), path
+
+
+def _name(path: str) -> str:
+    return "vecloom_" + path.rpartition("-")[2]
 
 
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a table of :func:`stored` that nothing reads any more."""
+    spark.sql(f"DROP TABLE IF EXISTS {_name(path)}")
     files, where = _file_system(spark, path)
     files.delete(where, True)
 

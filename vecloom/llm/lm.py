@@ -8,8 +8,9 @@ word. The empty context occurs before every word of the other documents. Context
 A context's occurrences are counted in suffix arrays: sorted arrays of the corpus' contexts (as 64-bit hashes of a length and that many
 words), sharded by hash, so that all suffixes that agree in so many words are one range of one shard. A block of documents sends each of its
 contexts once, with its number, and is answered with the width of the range, found by binary search; what a document holds itself it subtracts.
-The longest matching context is found by a search over lengths. All words ask for 1 and 2; those matched at 2 for 3 and 4, at 4 for 8, 16 and 32, at 32
-for all powers of two up to the start; then the gaps are halved twice a round until the lengths are known to the word.
+The longest matching context is found by a search over lengths. All words ask for 1; those matched for 2, at 2 for 3 and 4, at 4 for 8, 16 and 32, at 32
+for all powers of two up to the start; then the gaps are halved twice a round until the lengths are known to the word. A match is longer by one at most
+than that of the word before, so where one is known, those after it ask for no more than they can have.
 A context matched at both ends of a gap by as many occurrences asks no more there, as none of them can end in between; all others ask along, so every
 count is complete. The continuation count needs no search of its own: a word that follows its context elsewhere has itself a match that is longer by one.
 
@@ -40,13 +41,23 @@ from .textbytes import blocks, mix, word_hashes, _powers
 
 KAPPA, VOCABULARY = 1.0, 1_000_000
 #: Words of a block, and contexts of a shard, about.
-BLOCK_WORDS, SHARD_CONTEXTS = 400_000, 1_000_000
+BLOCK_WORDS, SHARD_CONTEXTS = 500_000, 1_000_000
 #: Lengths that the first rounds ask for; the next asks for all further powers of two.
-LEVELS = ((1, 2), (3, 4), (8, 16, 32))
+LEVELS = ((1,), (2,), (3, 4), (8, 16, 32))
 _START = np.uint64(0x51A27B1E5E2C9D37)
 _ANSWER = "block long, shard long, load binary"
 
 
+def _order(key: np.ndarray) -> np.ndarray:
+    """Indices that sort ``key``, equal ones by index."""
+    bits = np.uint64(max(len(key) - 1, 1).bit_length())
+    s = np.sort(key >> bits << bits | np.arange(len(key), dtype=np.uint64))
+    o = (s & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    found = key[o]
+    # where keys that differ in their low bits only got mixed up, sort them as they are
+    return np.argsort(key, kind="stable") if (found[1:] < found[:-1]).any() or ((s[1:] >> bits == s[:-1] >> bits) & (found[1:] != found[:-1])).any() else o
+
+
 class Block:
     """Documents by their words, and how far the search has come."""
 
@@ -55,6 +66,8 @@ class Block:
     def __init__(self, load: memoryview) -> None:
         self.__dict__.update(zip(self.FIELDS, unpacked(load)))
         self.key, self.dictionary = self.key.reshape(-1, 2), self.dictionary.astype(np.uint64)
+        self.code = self.code.reshape(3, -1).T @ np.array([1, 1 << 8, 1 << 16])
+        self.live, self.gap = np.cumsum(self.live), np.cumsum(self.gap)
         n = len(self.code)
         self.doc = np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
         self.place = np.arange(n) - self.at[self.doc]
@@ -63,13 +76,25 @@ class Block:
 
     @classmethod
     def load_of(cls, key: np.ndarray, lengths: np.ndarray, weight: np.ndarray, h: np.ndarray) -> bytes:
-        dictionary, code = np.unique(h, return_inverse=True)
+        dictionary, code, often = np.unique(h, return_inverse=True, return_counts=True)
+        o = np.argsort(-often, kind="stable")
+        rank = np.empty(len(o), np.int64)
+        rank[o] = np.arange(len(o))
         n, docs, none = len(h), len(lengths), np.zeros(0, np.int64)
         zeros = np.zeros(n, np.int64)
-        return packed(key.ravel(), np.r_[0, np.cumsum(lengths)], weight, dictionary, code, zeros, zeros, zeros, np.zeros(docs), np.zeros(docs), np.arange(n), *[none] * 6)
+        live = np.r_[0, np.ones(n - 1, np.int64)]
+        return packed(key.ravel(), np.r_[0, np.cumsum(lengths)], weight, dictionary[o], cls._bytes(rank[code]), zeros, zeros, zeros, np.zeros(docs), np.zeros(docs), live, *[none] * 6)
+
+    @staticmethod
+    def _bytes(code: np.ndarray) -> np.ndarray:
+        """The low three bytes of each code, one after the other: a block has fewer words than that, or is one text, whose codes are checked."""
+        if len(code) and code.max() >> 24:
+            raise ValueError("a text of more than 16 million different words")
+        return np.concatenate([code & 255, code >> 8 & 255, code >> 16])
 
     def load(self) -> bytes:
-        return packed(*[getattr(self, k).ravel() for k in self.FIELDS])
+        changed = {"key": self.key.ravel(), "code": self._bytes(self.code), "live": np.diff(self.live, prepend=0), "gap": np.diff(self.gap, prepend=0)}
+        return packed(*[changed.get(k, getattr(self, k)) for k in self.FIELDS])
 
     def asked(self, levels: tuple[int, ...] | None) -> tuple[np.ndarray, np.ndarray]:
         """Where the contexts end that this round asks for, and their lengths; by place in ladders, by gap afterwards."""
@@ -81,7 +106,27 @@ class Block:
             n[:, 1:][n[:, 1:] == n[:, :-1]] = 0
             n[n <= self.low[:, None]] = 0
             where, n = np.repeat(self.gap, 3), n.ravel()
-        return where, np.where(n <= self.place[where] + 1, n, 0)
+        return where, np.where(n <= self.most()[where], n, 0)
+
+    def _spent(self) -> np.ndarray:
+        """Words that are scored and whose next word is, too."""
+        done = (self.done == 1) | (self.place == 0)
+        return done & np.r_[done[1:], True]
+
+    def most(self) -> np.ndarray:
+        """The greatest length that each word's match can have still."""
+        bound = self.place + 1
+        known = ~self._spent()
+        known[self.live] = False
+        known[self.gap] = False
+        bound[known] = self.size[known]
+        if len(self.gap):
+            top = np.zeros(len(bound), np.int64)
+            np.maximum.at(top, self.gap, self.high)
+            top[self.live] = 0
+            bound = np.where(top > 0, np.minimum(bound, np.maximum(top - 1, self.size)), bound)
+        index = np.arange(len(bound))
+        return np.minimum.accumulate(bound - index) + index
 
     def counted(self, where: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct contexts (ascending), their weighted number in the block, of each asked one its rank among them and its number in its document."""
@@ -91,7 +136,7 @@ class Block:
         np.cumsum(h * power[: len(h)], out=total[1:])
         begin = where + 1 - n
         key = mix(mix((total[where + 1] - total[begin]) * inverse[begin]) + n.astype(np.uint64))
-        o = np.argsort(key, kind="stable")
+        o = _order(key)
         key, doc = key[o], self.doc[where[o]]
         new = np.r_[True, key[1:] != key[:-1]] if len(o) else np.zeros(0, bool)
         of_doc = np.flatnonzero(new | np.r_[True, doc[1:] != doc[:-1]]) if len(o) else np.zeros(0, np.int64)
@@ -139,8 +184,15 @@ class Block:
             at = np.repeat(self.gap, 4).reshape(-1, 4)
             old = [np.zeros(0, np.int64)] * 5
         some = open_ & (high - low > 1) & (n_low != n_high) & (low <= self.place[at])
-        for k, before, now in zip(("gap", "low", "high", "n_low", "n_high"), old, (at, low, high, n_low, n_high)):
-            setattr(self, k, np.r_[before, now[some]])
+        for k, old_, now in zip(("gap", "low", "high", "n_low", "n_high"), old, (at, low, high, n_low, n_high)):
+            setattr(self, k, np.r_[old_, now[some]])
+        self.close()
+
+    def close(self) -> None:
+        """Drops gaps that cannot hold a match: no longer one than their lower end is possible."""
+        still = self.low < self.most()[self.gap]
+        for k in ("gap", "low", "high", "n_low", "n_high"):
+            setattr(self, k, getattr(self, k)[still])
 
     def settle(self, words: int) -> None:
         """Scores the words whose context and own match are known, and forgets what is needed no more. words: of the corpus."""
@@ -156,14 +208,14 @@ class Block:
         self.sum = self.sum + np.bincount(self.doc[i], logp, len(self.sum))
         self.context = self.context + np.bincount(self.doc[i], length, len(self.sum))
         self.done[i] = 1
-        spent = (self.done == 1) | (self.place == 0)  # as a prediction; as a context when the next one is
-        spent &= np.r_[spent[1:], True] | np.r_[self.place[1:] == 0, True]
+        spent = self._spent()
         self.size[spent] = 0
         self.count[spent] = 0
+        most = self.most()
         reach = np.zeros(n + 1, np.int64)  # the words that open contexts reach
-        for where, most in ((self.live, self.place[self.live] + 1), (self.gap, np.minimum(self.high, self.place[self.gap] + 1))):
-            np.add.at(reach, where + 1 - most, 1)
-            np.add.at(reach, where + 1, -1)
+        for where, far in ((self.live, most[self.live]), (self.gap, np.minimum(self.high, most[self.gap]))):
+            reach += np.bincount(where + 1 - far, minlength=n + 1)
+            reach -= np.bincount(where + 1, minlength=n + 1)
         out = np.cumsum(reach[:-1]) == 0
         used = np.zeros(len(self.dictionary), bool)
         used[self.code[~out]] = True
@@ -293,7 +345,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         answers = asked.groupBy("shard").applyInArrow(_answer, _ANSWER)
         learned = table.select("block", "load").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_learn(levels, before, then, words), "block long, load binary, open long")
         old = path
-        table, path = stored(learned)
+        table, path = stored(learned, "block")
         discard(spark, old)
         waiting = table.agg(F.sum("open")).first()[0] or 0
         round_ += 1
