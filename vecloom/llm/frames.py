@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -15,9 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: Sequence[str] = ()) -> DataFrame:
     """Only the columns that an operator reads, id as long and text as string.
 
@@ -53,23 +51,16 @@ def _file_system(spark: SparkSession, path: str) -> tuple:
 
 
 def stored(df: DataFrame, by: str | None = None) -> tuple[DataFrame, str]:
-    """``df`` written as Parquet to the shared folder and read again, and its path. Gone when the session ends; its shuffle files go at once.
+    """``df`` written as Parquet to the shared folder and read again, and its path. Gone when the session ends.
 
     ``by``: in as many buckets by this column as shuffles have partitions, so that grouping by it again moves nothing; a table of the catalog until :func:`discard`.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    try:
-        if before is not None:
-            spark.conf.set(_CLEANUP, "true")
-        if by:
-            df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).format("parquet").saveAsTable(_name(path))
-        else:
-            df.write.parquet(path)
-    finally:
-        if before is not None:
-            spark.conf.set(_CLEANUP, before)
+    if by:
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).format("parquet").saveAsTable(_name(path))
+    else:
+        df.write.parquet(path)
     files, where = _file_system(spark, path)
     files.deleteOnExit(where)
     return spark.table(_name(path)) if by else spark.read.schema(df.schema).parquet(path), path
@@ -80,10 +71,12 @@ def _name(path: str) -> str:
 
 
 def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a table of :func:`stored` that nothing reads any more."""
+    """Deletes a table of :func:`stored` that nothing reads any more, and lets Spark's cleaner find the shuffle files of plans that are gone: it goes by the driver's garbage."""
     spark.sql(f"DROP TABLE IF EXISTS {_name(path)}")
     files, where = _file_system(spark, path)
     files.delete(where, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def written(df: DataFrame) -> DataFrame:

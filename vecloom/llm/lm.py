@@ -41,7 +41,7 @@ from .textbytes import blocks, mix, word_hashes, _powers
 
 KAPPA, VOCABULARY = 1.0, 1_000_000
 #: Words of a block, and contexts of a shard, about.
-BLOCK_WORDS, SHARD_CONTEXTS = 500_000, 1_000_000
+BLOCK_WORDS, SHARD_CONTEXTS = 300_000, 500_000
 #: Lengths that the first rounds ask for; the next asks for all further powers of two.
 LEVELS = ((1,), (2,), (3, 4), (8, 16, 32))
 _START = np.uint64(0x51A27B1E5E2C9D37)
@@ -59,20 +59,24 @@ def _order(key: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Documents by their words, and how far the search has come."""
+    """Documents by their words, and how far the search has come. Of a document it has the stretches of words that are needed still."""
 
-    FIELDS = ("key", "at", "weight", "dictionary", "code", "size", "count", "done", "sum", "context", "live", "top", "gap", "low", "high", "n_low", "n_high")
+    #: key, words, weight, sum, context: of each document; at, of, start: where stretches begin among the words, their documents, and places there.
+    FIELDS = ("key", "words", "weight", "sum", "context", "at", "of", "start", "dictionary", "code", "size", "count", "done", "live", "top", "gap", "low", "high", "n_low", "n_high")
 
     def __init__(self, load: memoryview) -> None:
         self.__dict__.update(zip(self.FIELDS, unpacked(load)))
         self.key, self.dictionary = self.key.reshape(-1, 2), self.dictionary.astype(np.uint64)
         self.code = self.code.reshape(3, -1).T @ np.array([1, 1 << 8, 1 << 16])
         self.live, self.gap = np.cumsum(self.live), np.cumsum(self.gap)
-        n = len(self.code)
-        self.doc = np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
-        self.place = np.arange(n) - self.at[self.doc]
         for name in ("size", "count", "done"):
             setattr(self, name, getattr(self, name).copy())
+        self._placed()
+
+    def _placed(self) -> None:
+        n, long = len(self.code), np.diff(self.at)
+        self.doc = np.repeat(self.of, long)
+        self.place = np.arange(n) + np.repeat(self.start - self.at[:-1], long)
 
     @classmethod
     def load_of(cls, key: np.ndarray, lengths: np.ndarray, weight: np.ndarray, h: np.ndarray) -> bytes:
@@ -83,11 +87,12 @@ class Block:
         n, docs, none = len(h), len(lengths), np.zeros(0, np.int64)
         zeros = np.zeros(n, np.int64)
         live = np.r_[0, np.ones(n - 1, np.int64)]
-        return packed(key.ravel(), np.r_[0, np.cumsum(lengths)], weight, dictionary[o], cls._bytes(rank[code]), zeros, zeros, zeros, np.zeros(docs), np.zeros(docs), live, *[none] * 6)
+        of_docs = key.ravel(), lengths - 1, weight, np.zeros(docs), np.zeros(docs)
+        return packed(*of_docs, np.r_[0, np.cumsum(lengths)], np.arange(docs), np.zeros(docs, np.int64), dictionary[o], cls._bytes(rank[code]), zeros, zeros, zeros, live, *[none] * 6)
 
     @staticmethod
     def _bytes(code: np.ndarray) -> np.ndarray:
-        """The low three bytes of each code, one after the other: a block has fewer words than that, or is one text, whose codes are checked."""
+        """The low three bytes of each code, one after the other: only a text of more than 16 million different words needs more."""
         if len(code) and code.max() >> 24:
             raise ValueError("a text of more than 16 million different words")
         return np.concatenate([code & 255, code >> 8 & 255, code >> 16])
@@ -111,7 +116,10 @@ class Block:
     def _spent(self) -> np.ndarray:
         """Words that are scored and whose next word is, too."""
         done = (self.done == 1) | (self.place == 0)
-        return done & np.r_[done[1:], True]
+        later = np.ones(len(done), bool)
+        later[:-1] = done[1:]
+        later[self.at[1:] - 1] = True  # what is no longer here is scored
+        return done & later
 
     def most(self) -> np.ndarray:
         """The greatest length that each word's match can have still."""
@@ -125,7 +133,7 @@ class Block:
             np.maximum.at(top, self.gap, self.high)
             top[self.live] = 0
             bound = np.where(top > 0, np.minimum(bound, np.maximum(top - 1, self.size)), bound)
-        index = np.arange(len(bound))
+        index = self.place + (self.doc << 32)
         return np.minimum.accumulate(bound - index) + index
 
     def counted(self, where: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -200,27 +208,40 @@ class Block:
         known = np.ones(n, bool)
         known[self.live] = False
         known[self.gap] = False
-        i = np.flatnonzero((self.place > 0) & (self.done == 0) & known & np.r_[False, known[:-1]])
-        length, mine = self.size[i - 1], np.diff(self.at) - 1
-        c = np.where(length > 0, self.count[i - 1], words - mine[self.doc[i]])
+        both = known.copy()
+        both[1:] &= known[:-1]
+        i = np.flatnonzero((self.place > 0) & (self.done == 0) & both)
+        length, doc = self.size[i - 1], self.doc[i]
+        c = np.where(length > 0, self.count[i - 1], words - self.words[doc])
         d = np.where(self.size[i] == length + 1, self.count[i], 0)
         logp = np.log(d + KAPPA / VOCABULARY) - np.log(c + KAPPA)
-        self.sum = self.sum + np.bincount(self.doc[i], logp, len(self.sum))
-        self.context = self.context + np.bincount(self.doc[i], length, len(self.sum))
+        self.sum = self.sum + np.bincount(doc, logp, len(self.sum))
+        self.context = self.context + np.bincount(doc, length, len(self.sum))
         self.done[i] = 1
-        spent = self._spent()
-        self.size[spent] = 0
-        self.count[spent] = 0
         most = self.most()
         reach = np.zeros(n + 1, np.int64)  # the words that open contexts reach
         for where, far in ((self.live, most[self.live]), (self.gap, np.minimum(self.high, most[self.gap]))):
             reach += np.bincount(where + 1 - far, minlength=n + 1)
             reach -= np.bincount(where + 1, minlength=n + 1)
-        out = np.cumsum(reach[:-1]) == 0
+        reached = np.cumsum(reach[:-1]) > 0
+        spent = self._spent()
+        keep = reached | ~spent
+        self.size[spent] = 0
+        self.count[spent] = 0
         used = np.zeros(len(self.dictionary), bool)
-        used[self.code[~out]] = True
-        self.code = np.where(out, 0, np.cumsum(used)[self.code])
+        used[self.code[reached]] = True
+        self.code = np.where(reached, np.cumsum(used)[self.code], 0)[keep]
         self.dictionary = np.r_[np.uint64(0), self.dictionary[used]]
+        begins = keep.copy()
+        begins[1:] &= ~keep[:-1]
+        first = self.at[:-1]
+        begins[first] = keep[first]
+        begins = np.flatnonzero(begins)
+        self.of, self.start = self.doc[begins], self.place[begins]
+        index = np.cumsum(keep) - 1
+        self.at = np.r_[index[begins], int(keep.sum())]
+        self.size, self.count, self.done, self.live, self.gap = self.size[keep], self.count[keep], self.done[keep], index[self.live], index[self.gap]
+        self._placed()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +339,17 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for load in batch.column(0):
             b = Block(memoryview(load.as_buffer()))
             raw = np.ascontiguousarray(b.key).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([raw[16 * k : 16 * k + 16] for k in range(len(b.key))], pa.binary()), pa.array(np.diff(b.at) - 1), pa.array(b.sum), pa.array(b.context)], ["key", "n", "logp", "context"])
+            yield pa.RecordBatch.from_arrays([pa.array([raw[16 * k : 16 * k + 16] for k in range(len(b.key))], pa.binary()), pa.array(b.words), pa.array(b.sum), pa.array(b.context)], ["key", "n", "logp", "context"])
+
+
+def _searched(table: DataFrame, ladders: list[tuple[int, ...]], round_: int, waiting: int, words: int) -> tuple[DataFrame, str]:
+    """The blocks after one more round, and where they are kept."""
+    levels = ladders[round_] if round_ < len(ladders) else None
+    before, then = ladders[round_ - 1][-1] if 0 < round_ < len(ladders) else 0, round_ + 1 < len(ladders)
+    asked = table.select("block", "load").mapInArrow(_ask(levels, max(1, waiting // SHARD_CONTEXTS)), "shard long, block long, load binary")
+    answers = asked.groupBy("shard").applyInArrow(_answer, _ANSWER)
+    learned = table.select("block", "load").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_learn(levels, before, then, words), "block long, load binary, open long")
+    return stored(learned, "block")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,14 +369,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ladders = [*LEVELS, tuple(more)]
     waiting, round_ = words, 0
     while waiting:
-        levels = ladders[round_] if round_ < len(ladders) else None
-        before, then = ladders[round_ - 1][-1] if 0 < round_ < len(ladders) else 0, round_ + 1 < len(ladders)
-        shards = max(1, waiting // SHARD_CONTEXTS)
-        asked = table.select("block", "load").mapInArrow(_ask(levels, shards), "shard long, block long, load binary")
-        answers = asked.groupBy("shard").applyInArrow(_answer, _ANSWER)
-        learned = table.select("block", "load").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_learn(levels, before, then, words), "block long, load binary, open long")
         old = path
-        table, path = stored(learned, "block")
+        table, path = _searched(table, ladders, round_, waiting, words)
         discard(spark, old)
         waiting = table.agg(F.sum("open")).first()[0] or 0
         round_ += 1
