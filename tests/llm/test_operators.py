@@ -1,9 +1,11 @@
 """Each operator against a brute-force version, and on awkward tables."""
 
+import base64
 import hashlib
 import itertools
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -42,7 +44,7 @@ AWKWARD = [
     (11, "# T\n\npara one\npara two\n\n# U\npara three", "de", "c", -1),
     (12, "# T\n\npara one\npara 2\n\n# U\npara three", "de", "c", -1),
 ]
-EXTRA = ["root", "seed", "tokens", "window_id", "hi", "lo", "marks", "key", "keep", "reason", "__gone", "section", "row"]
+EXTRA = ["held", "__held", "__marks", "root", "seed", "tokens", "window_id", "hi", "lo", "marks", "key", "keep", "reason", "__gone", "section", "row"]
 
 
 @pytest.fixture(scope="module")
@@ -357,6 +359,15 @@ def test_secrets(awkward, empty, small):
     assert secrets.redact(awkward).count() == len(AWKWARD) and secrets.scan(empty).count() == 0 and secrets.redact(empty).count() == 0
 
 
+def test_secrets_take_linear_time():
+    deep = base64.urlsafe_b64encode(b"[" * 60_000).decode().rstrip("=")
+    assert secrets.scanner().find(f"a {'eyJ' + deep}.eyJabcdefgh.abcdefghijkl z") == []
+    for unit in ("-----BEGIN PRIVATE KEY-----\n", "-----BEGIN ", "eyJ", "token=", "password: ", "4111 ", "DE89", "IBAN ", "ghp_", "a" * 30 + "_token=\"", "xoxb-11111111-"):
+        began = time.process_time()
+        secrets.scanner().find(unit * (200_000 // len(unit)))
+        assert time.process_time() - began < 20, unit
+
+
 def test_cards_and_ibans_need_no_word_before_them(spark):
     rng = np.random.default_rng(6)
     for k in range(3000):
@@ -408,7 +419,9 @@ def test_passages(awkward, empty, small):
     got = {(r["doc_id"], r["n_words"], r["is_first"]) for r in phrases.passages(awkward).collect()}
     assert (1, 70, True) in got and (2, 70, False) in got and not {i for i, *_ in got} & {None, 3, 4, 5, 6}
     left = {r["doc_id"]: r["text"] for r in phrases.drop_repeats(awkward).collect()}
-    assert PASSAGE in left[1] and left[2] == words(5, 20) and left[6] == LONG and left[4] == "" and left[3] is None and PASSAGE in left[None] if left[None] else True
+    assert PASSAGE in left[1] and left[2] == words(5, 20) and left[6] == LONG and left[4] == "" and left[3] is None
+    nobody = [r["text"] for r in phrases.drop_repeats(awkward).where("doc_id IS NULL AND text IS NOT NULL").collect()]
+    assert nobody == [f"nobody {PASSAGE}"]
     assert 9 not in left  # nothing is left of a copy
     assert phrases.drop_repeats(awkward).columns == awkward.columns
     assert phrases.passages(empty).count() == 0 and phrases.drop_repeats(empty).count() == 0
@@ -492,6 +505,18 @@ def test_html_smoothing_by_hand():
     assert htmltext.content_lines(lines).tolist() == [x >= 0.5 * std for x in smooth]
 
 
+def test_html_unclosed_and_adversarial():
+    assert [t for t, _ in htmltext.lines_of("<p>one</p><svg><p>two is a long text</p>")] == ["one", "two is a long text"]
+    assert [t for t, _ in htmltext.lines_of("<p>a</p><noscript><p>hidden</p></noscript><template><p>b</p>")] == ["a", "b"]
+    assert [t for t, _ in htmltext.lines_of("<p>a</p><svg><svg>x</svg><p>b")] == ["a", "b"]
+    assert [t for t, _ in htmltext.lines_of("<p>a</p><script>hidden <p>b")] == ["a"]
+    for unit in ("<a ", "<!--", "<![CDATA[", "<svg>", "</", "<a b='", "&#", "<noscript><p>", "<!", "<?"):
+        for end in ("", ">", "-->", "'>"):
+            began = time.process_time()
+            htmltext.lines_of(unit * (300_000 // len(unit)) + end)
+            assert time.process_time() - began < 10, (unit, end)
+
+
 # 10 -------------------------------------------------------------------------------------------------------------
 
 

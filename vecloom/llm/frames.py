@@ -71,10 +71,15 @@ def _name(path: str) -> str:
 
 
 def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a table of :func:`stored` that nothing reads any more, and lets Spark's cleaner find the shuffle files of plans that are gone: it goes by the driver's garbage."""
+    """Deletes a table of :func:`stored` that nothing reads any more."""
     spark.sql(f"DROP TABLE IF EXISTS {_name(path)}")
     files, where = _file_system(spark, path)
     files.delete(where, True)
+    released(spark)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark's cleaner find the shuffle files of plans that are gone, which it does by the driver's garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -10,6 +10,7 @@ Defined results
 * null page: null content and counts of 0; empty page, or one without text: empty content;
 * if all smoothed ratios are equal (one line, say), all lines with text are content;
 * script, style, template, noscript, svg and head have no text; character references are resolved, blanks and line ends are one blank;
+* what is begun but never ended (a tag, a comment, a section) is text, and a silent element that is never closed, other than script and style, hides nothing;
 * broken markup never fails: where the parser refuses a declaration, all ``<!`` of the page are text;
 * a null id is reported as null; repeated rows are each extracted; an empty table gives an empty result; other columns are ignored;
 * pages are read whole at any length.
@@ -35,72 +36,101 @@ BLOCK = frozenset(
     "header hr html li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 SILENT = frozenset(("script", "style", "template", "noscript", "svg", "head"))
+#: Of these, the ones that hide all that follows even where they are never closed.
+RAW = frozenset(("script", "style"))
+_LINE_ENDS = re.compile("[\r\n]").split
 _KERNEL = np.exp(-(np.arange(-RADIUS, RADIUS + 1) ** 2) / (2 * SIGMA**2))
 
 
-class Lines(HTMLParser):
-    """Collects (text, tags) lines from parser events."""
+class Events(HTMLParser):
+    """What the parser reports: (kind, tag or text)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int]] = []
-        self.parts: list[str] = []
-        self.tags = 0
-        self.silent: list[str] = []
-
-    def end_line(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        self.parts = []
-        if text:
-            self.lines.append((text, self.tags))
-            self.tags = 0
+        self.events: list[tuple[str, str]] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in SILENT:
-            self.silent.append(tag)
-        elif tag == "body":
-            self.silent.clear()  # an unclosed head
-        if tag in BLOCK:
-            self.end_line()
-        self.tags += 1
+        self.events.append(("start", tag))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if tag in BLOCK:
-            self.end_line()
-        self.tags += 1
+        self.events.append(("empty", tag))
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self.silent:
-            del self.silent[self.silent.index(tag) :]
-        if tag in BLOCK:
-            self.end_line()
-        self.tags += 1
+        self.events.append(("end", tag))
 
     def handle_data(self, data: str) -> None:
-        if self.silent:
-            return
-        first, *more = re.split("[\r\n]", data)
-        self.parts.append(first)
-        for x in more:
-            self.end_line()
-            self.parts.append(x)
+        self.events.append(("data", data))
+
+
+def _finished(page: str) -> str:
+    """``page`` with what can't end any more as text: tags after the last ``>``, comments and sections after their last ends. The parser would look for the end from each."""
+    for begin, end in (("<!--", "-->"), ("<![", "]>"), ("<", ">")):
+        at = page.rfind(end) + 1
+        if page.find(begin, at) >= 0:
+            page = page[:at] + page[at:].replace(begin, "&lt;" + begin[1:])
+    return page
+
+
+def _events(page: str) -> list[tuple[str, str]]:
+    parser = Events()
+    step = max(CHUNK, len(page) // 16 + 1)  # what is unfinished at the end of a chunk is read again
+    for k in range(0, len(page), step):
+        parser.feed(page[k : k + step])
+    parser.close()
+    return parser.events
 
 
 def lines_of(page: str) -> list[tuple[str, int]]:
     """(text, tags) of each line with text."""
+    page = _finished(page)
     try:
-        return _parsed(page)
+        events = _events(page)
     except AssertionError:
-        return _parsed(page.replace("<!", "&lt;!"))
-
-
-def _parsed(page: str) -> list[tuple[str, int]]:
-    parser = Lines()
-    for k in range(0, len(page), CHUNK):
-        parser.feed(page[k : k + CHUNK])
-    parser.close()
-    parser.end_line()
-    return parser.lines
+        events = _events(page.replace("<!", "&lt;!"))
+    # a silent element that is never closed is none, but for scripts and styles
+    ends, closed = dict.fromkeys(SILENT, 0), [False] * len(events)
+    for k in range(len(events) - 1, -1, -1):
+        kind, tag = events[k]
+        if kind != "data" and tag in SILENT:
+            if kind == "end":
+                ends[tag] += 1
+            elif kind == "start":
+                closed[k] = tag in RAW or ends[tag] > 0
+                ends[tag] = max(0, ends[tag] - 1)
+    lines: list[tuple[str, int]] = []
+    parts: list[str] = []
+    silent: list[str] = []
+    tags = 0
+
+    def end_line() -> None:
+        nonlocal tags
+        text = " ".join("".join(parts).split())
+        parts.clear()
+        if text:
+            lines.append((text, tags))
+            tags = 0
+
+    for k, (kind, what) in enumerate(events):
+        if kind == "data":
+            if not silent:
+                first, *more = _LINE_ENDS(what)
+                parts.append(first)
+                for x in more:
+                    end_line()
+                    parts.append(x)
+            continue
+        if kind == "start":
+            if closed[k]:
+                silent.append(what)
+            elif what == "body":
+                silent.clear()  # an unclosed head
+        elif kind == "end" and what in silent:
+            del silent[silent.index(what) :]
+        if what in BLOCK:
+            end_line()
+        tags += 1
+    end_line()
+    return lines
 
 
 def content_lines(lines: list[tuple[str, int]]) -> np.ndarray:

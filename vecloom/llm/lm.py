@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import discard, packed, stored, texts, unpacked, written
+from .frames import discard, packed, released, stored, texts, unpacked, written
 from .textbytes import blocks, mix, word_hashes, _powers
 
 KAPPA, VOCABULARY = 1.0, 1_000_000
@@ -342,6 +342,12 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([raw[16 * k : 16 * k + 16] for k in range(len(b.key))], pa.binary()), pa.array(b.words), pa.array(b.sum), pa.array(b.context)], ["key", "n", "logp", "context"])
 
 
+def _built(rows: DataFrame) -> tuple[DataFrame, str]:
+    """The blocks of all different texts, and where they are kept."""
+    different = rows.where("text IS NOT NULL").groupBy("key").agg(F.count("*").alias("weight"), F.first("text").alias("text"))
+    return stored(different.select("key", "weight", "text").mapInArrow(_blocks, "block long, words long, longest long, load binary"), "block")
+
+
 def _searched(table: DataFrame, ladders: list[tuple[int, ...]], round_: int, waiting: int, words: int) -> tuple[DataFrame, str]:
     """The blocks after one more round, and where they are kept."""
     levels = ladders[round_] if round_ < len(ladders) else None
@@ -360,8 +366,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     if size[0] != size[1]:
         rows = rows.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
     rows = rows.select("doc_id", "text", F.unhex(F.md5("text")).alias("key"))
-    different = rows.where("text IS NOT NULL").groupBy("key").agg(F.count("*").alias("weight"), F.first("text").alias("text"))
-    table, path = stored(different.select("key", "weight", "text").mapInArrow(_blocks, "block long, words long, longest long, load binary"))
+    table, path = _built(rows)
+    released(spark)
     words, longest = table.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("longest"), F.lit(0))).first()
     more = [64]
     while 2 * more[-1] <= longest:

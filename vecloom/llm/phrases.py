@@ -43,7 +43,7 @@ SHARD_PHRASES = 40_000
 #: Different words of a shard that one character each can stand for.
 CHARACTERS = 0x10F000
 #: Runs in a range of hashes that one task counts, about.
-RANGE_RUNS = 2_000_000
+RANGE_RUNS = 400_000
 
 
 def winnowed(h: np.ndarray, at: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -223,7 +223,7 @@ def _marks(rows: DataFrame, length: int, seed: int) -> tuple[DataFrame, DataFram
     wanted = recurring.groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
     held = written(rows.join(wanted, "doc_id"))
     total = held.agg(F.sum(F.size("seeds"))).first()[0] or 0
-    ranges = max(1, total * 13 // RANGE_RUNS, 2 * rows.sparkSession.sparkContext.defaultParallelism if total * 13 > RANGE_RUNS else 1)
+    ranges = max(1, total * 13 // RANGE_RUNS)
     runs = held.mapInArrow(_run_batches(length, seed, ranges), "range long, load binary")
     confirmed = runs.repartition(ranges, "range").groupBy("range").applyInArrow(_confirm, "doc_id long, marks array<long>")
     return held, confirmed.groupBy("doc_id").agg(F.flatten(F.collect_list("marks")).alias("marks"))
@@ -256,17 +256,23 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``docs`` with every passage left in its first holder only; documents of which nothing is left go."""
     rows = texts(docs, id_col, text_col).where("doc_id IS NOT NULL AND text IS NOT NULL")
     _, marks = _marks(rows, length, seed)
-    marks = marks.where(F.exists("marks", lambda m: m % 2 == 0)).select(F.col("doc_id").alias("__held"), F.col("marks").alias("__marks"))
-    joined = docs.join(marks, docs[f"`{id_col}`"].cast("long") == marks["__held"], "left")
+    # the two columns go by names that no column of docs has
+    held, mark = _free(docs, "held"), _free(docs, "marks")
+    marks = marks.where(F.exists("marks", lambda m: m % 2 == 0)).select(F.col("doc_id").alias(held), F.col("marks").alias(mark))
+    joined = docs.join(marks, docs[f"`{id_col}`"].cast("long") == marks[held], "left")
 
     def without(text: pa.Array, marks: pa.Array) -> pa.Array:
         return _without(text, marks, length)
 
-    text = F.col(f"`{text_col}`")
-    cut = F.arrow_udf(without, StringType())(text.cast("string"), F.coalesce("__marks", F.array().cast("array<long>")))
-    touched = F.col("__held").isNotNull()
-    return (
-        joined.withColumn(text_col, cut)
-        .where(~touched | (F.length(text_col) > 0))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    cut = F.arrow_udf(without, StringType())(F.col(f"`{text_col}`").cast("string"), F.col(mark))
+    # only texts that lose something go to Python
+    text = F.when(F.col(held).isNotNull(), cut).otherwise(F.col(f"`{text_col}`").cast("string"))
+    return joined.withColumn(text_col, text).where(F.col(held).isNull() | (F.length(F.col(f"`{text_col}`")) > 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """``name``, with as many signs before it as make it new."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name

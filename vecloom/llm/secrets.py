@@ -4,8 +4,8 @@ One automaton holds the literal keywords of all rules, and one pass of it over a
 the few places worth a look. Only there a rule's regular expression is tried, anchored at
 the keyword (``match`` at a position, never a search through the text). Where a kind of
 secret carries a check (CRC-32 in GitHub and npm tokens, the Luhn digit of card numbers,
-mod 97 of IBANs, the JSON header of JWTs, both markers of a PEM block), a match that fails
-it is dropped; kinds without one must have the entropy of random text.
+mod 97 of IBANs, the JSON header of JWTs), a match that fails
+it is dropped; kinds without one must have the entropy of random text, PEM blocks both their markers.
 Card numbers and IBANs need no word before them: the prefixes of card issuers and the country codes
 are keywords too. One in ten of other numbers with such a prefix and 13 to 19 digits passes the Luhn check by chance.
 
@@ -14,6 +14,7 @@ Defined results
 * repeated rows are each scanned, so their findings repeat;
 * an empty table gives an empty result; other columns are ignored by :func:`scan` and kept by :func:`redact`;
 * texts are scanned whole at any length; offsets count characters, the end is exclusive;
+* every rule reads a bounded stretch from each keyword, so time is in proportion to length; an assigned value of more than 512 characters is data, not a secret;
 * where findings of several rules overlap, the one that starts first stays, then the longest, then the rule listed first.
 """
 
@@ -67,9 +68,10 @@ def iban(secret: str) -> bool:
 def jwt(secret: str) -> bool:
     head = secret.split(".")[0]
     try:
-        return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-    except ValueError:
+        header = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+    except (ValueError, RecursionError):
         return False
+    return isinstance(header, dict) and "alg" in header
 
 
 def entropy(secret: str) -> float:
@@ -121,7 +123,7 @@ RULES: tuple[Rule, ...] = (
     Rule("slack_token", ("xoxb-", "xoxp-", "xoxa-", "xoxs-", "xoxr-"), r"xox[bpasr]-[0-9]{8,}-[0-9A-Za-z-]{12,}", _random(3.0)),
     Rule("stripe_key", ("sk_live_", "rk_live_", "sk_test_"), r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}", _random(3.0)),
     Rule("google_key", ("AIza",), r"AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])", _random(3.0)),
-    Rule("private_key", ("-----BEGIN ",), r"-----BEGIN (?P<k>[A-Z ]*PRIVATE KEY)-----[\sA-Za-z0-9+/=:,-]+?-----END (?P=k)-----"),
+    Rule("private_key", ("-----BEGIN ",), r"-----BEGIN (?P<k>[A-Z ]{0,30}PRIVATE KEY)-----(?:[\sA-Za-z0-9+/=:,]|-(?!----))+-----END (?P=k)-----"),
     Rule("jwt", ("eyJ",), r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{8,}", jwt),
     Rule("iban", _cases("iban"), r"(?i:iban)[\s:=#]{0,4}(?P<s>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", iban),
     Rule("card_number", _cases("card", "visa", "mastercard", "amex"), r"(?i:[a-z]*(?: (?:no|number|nr))?)[\s.:=#]{0,4}(?P<s>[0-9](?:[ -]?[0-9]){12,18})(?![0-9])", luhn),
@@ -131,7 +133,7 @@ RULES: tuple[Rule, ...] = (
     Rule(
         "assigned_secret",
         _cases("token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "auth_key", "private_key", "client_secret"),
-        r"(?<![A-Za-z0-9])[A-Za-z0-9]{0,24}_?(?i:token|secret|password|passwd|api_?key|access_key|auth_key|private_key|client_secret)[\"']?\s{0,4}(?:=|:|:=|=>)\s{0,4}(?P<q>[\"']?)(?P<s>[A-Za-z0-9+/_.=-]{16,})(?P=q)(?![A-Za-z0-9])",
+        r"(?<![A-Za-z0-9])[A-Za-z0-9]{0,24}_?(?i:token|secret|password|passwd|api_?key|access_key|auth_key|private_key|client_secret)[\"']?\s{0,4}(?:=|:|:=|=>)\s{0,4}(?P<q>[\"']?)(?P<s>[A-Za-z0-9+/_.=-]{16,512})(?P=q)(?![A-Za-z0-9+/_.=-])",
         _random(3.0),
         back=25,
     ),
@@ -176,7 +178,7 @@ class Scanner:
         return out
 
 
-CHECKED = frozenset({"github_token", "npm_token", "iban", "card_number", "jwt", "private_key"})
+CHECKED = frozenset({"github_token", "npm_token", "iban", "card_number", "jwt"})
 _scanner: list[Scanner] = []
 
 
