@@ -122,6 +122,24 @@ def test_queries_against_duckdb(spark, name):
     assert Counter(tuple(_plain(r[c]) for c in names) for r in df.collect()) == want
 
 
+def test_recursive_and_hierarchy_queries(spark):
+    """Chunks, order and overlap of the queries without SQL, text by text."""
+    for name, chunk in (
+        ("chunk_recursive", lambda t: T.recursive_chunks(t, 800, 400, C.RECURSIVE_SEPARATORS, False)), ("chunk_semchunk", lambda t: T.hierarchy_chunks(t, 500, 50)), ("chunk_semchunk_strict", lambda t: T.hierarchy_chunks(t, 500, 0, True)),
+    ):
+        key, table, text = ("page_id", "pages", "html") if name.endswith("strict") else ("doc_id", "documents", "text")
+        want = Counter((r[0], k, c) for r in spark.read.parquet(f"{SMALL}/{table}.parquet").select(key, text).collect() for k, c in enumerate(chunk(r[1])))
+        assert Counter(map(tuple, Q.queries()[name](spark, SMALL).select(key, "chunk_seq", "chunk").collect())) == want
+
+
+def test_embedder_names_mean_one_embedder():
+    mine = E.letter_embedder("xy")
+    E.register_embedder("only mine", mine)
+    E.register_embedder("only mine", mine)
+    with pytest.raises(ValueError):
+        E.register_embedder("only mine", E.letter_embedder("xyz"))
+
+
 def test_contract(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(Q.queries()) <= set(entry.queries())

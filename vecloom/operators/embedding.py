@@ -194,8 +194,9 @@ _local: dict[str, Embedder] = {}
 
 
 def register_embedder(name: str, embedder: Embedder) -> None:
-    """Makes ``EmbeddingLocal(name)`` mean this one."""
-    _local[name] = embedder
+    """Makes ``EmbeddingLocal(name)`` mean this one; a name that means another already is refused."""
+    if _local.setdefault(name, embedder) is not embedder:
+        raise ValueError(f"an embedder {name!r} is registered already")
 
 
 def api_key(name: str, secrets: Secrets | None = None) -> str:
