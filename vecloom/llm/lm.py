@@ -62,7 +62,7 @@ class Block:
     """Documents by their words, and how far the search has come. Of a document it has the stretches of words that are needed still."""
 
     #: key, words, weight, sum, context: of each document; at, of, start: where stretches begin among the words, their documents, and places there.
-    FIELDS = ("key", "words", "weight", "sum", "context", "at", "of", "start", "dictionary", "code", "size", "count", "done", "live", "top", "gap", "low", "high", "n_low", "n_high")
+    FIELDS = ("key", "words", "weight", "sum", "context", "at", "of", "start", "dictionary", "code", "size", "count", "done", "live", "top", "gap", "low", "high", "n_low", "n_high", "seen")
 
     def __init__(self, load: memoryview) -> None:
         self.__dict__.update(zip(self.FIELDS, unpacked(load)))
@@ -72,6 +72,22 @@ class Block:
         for name in ("size", "count", "done"):
             setattr(self, name, getattr(self, name).copy())
         self._placed()
+        if len(self.seen):
+            self._first()
+
+    def _first(self) -> None:
+        """What is known once the corpus' number of each word (``seen``) is: kept by word, not by place, as it takes less room."""
+        key = self.doc.astype(np.uint64) << np.uint64(24) | self.code.astype(np.uint64)
+        o = _order(key)
+        begins = np.flatnonzero(np.r_[True, key[o][1:] != key[o][:-1]])
+        size = np.diff(np.r_[begins, len(o)])
+        own = np.empty(len(o), np.int64)
+        own[o] = np.repeat(size, size)
+        total = self.seen[self.code]
+        self.size = (total > own).astype(np.int64)
+        self.count = (total - own) * self.size
+        self.live = np.flatnonzero(self.size)
+        self.top, self.seen = total[self.live], self.seen[:0]
 
     def _placed(self) -> None:
         n, long = len(self.code), np.diff(self.at)
@@ -88,7 +104,7 @@ class Block:
         zeros = np.zeros(n, np.int64)
         live = np.r_[0, np.ones(n - 1, np.int64)]
         of_docs = key.ravel(), lengths - 1, weight, np.zeros(docs), np.zeros(docs)
-        return packed(*of_docs, np.r_[0, np.cumsum(lengths)], np.arange(docs), np.zeros(docs, np.int64), dictionary[o], cls._bytes(rank[code]), zeros, zeros, zeros, live, *[none] * 6)
+        return packed(*of_docs, np.r_[0, np.cumsum(lengths)], np.arange(docs), np.zeros(docs, np.int64), dictionary[o], cls._bytes(rank[code]), zeros, zeros, zeros, live, *[none] * 7)
 
     @staticmethod
     def _bytes(code: np.ndarray) -> np.ndarray:
@@ -157,6 +173,10 @@ class Block:
 
     def learn(self, levels: tuple[int, ...] | None, before: int, then: bool, where: np.ndarray, n: np.ndarray, total: np.ndarray, own: np.ndarray) -> None:
         """Takes the counts of what was asked: ``n`` 0 for what could not be. ``before``: the last level of the ladder before; ``then``: another one follows."""
+        if levels == LEVELS[0]:
+            self.seen = np.zeros(len(self.dictionary), np.int64)
+            self.seen[self.code[where]] = total
+            return
         shared = total > own
         better = np.flatnonzero(shared & (n > self.size[where]))
         better = better[np.lexsort((n[better], where[better]))]
@@ -204,6 +224,8 @@ class Block:
 
     def settle(self, words: int) -> None:
         """Scores the words whose context and own match are known, and forgets what is needed no more. words: of the corpus."""
+        if len(self.seen):
+            return
         n = len(self.code)
         known = np.ones(n, bool)
         known[self.live] = False
