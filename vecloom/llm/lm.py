@@ -40,8 +40,8 @@ from .frames import discard, packed, released, stored, texts, unpacked, written
 from .textbytes import blocks, mix, word_hashes, _powers
 
 KAPPA, VOCABULARY = 1.0, 1_000_000
-#: Words of a block, and contexts of a shard, about.
-BLOCK_WORDS, SHARD_CONTEXTS = 300_000, 500_000
+#: Words of a block, about, and questions for a shard: blocks put equal ones as one, so it has a quarter of them or so.
+BLOCK_WORDS, SHARD_CONTEXTS = 300_000, 3_000_000
 #: Lengths that the first rounds ask for; the next asks for all further powers of two.
 LEVELS = ((1,), (2,), (3, 4), (8, 16, 32))
 _START = np.uint64(0x51A27B1E5E2C9D37)

@@ -120,7 +120,7 @@ RULES: tuple[Rule, ...] = (
     Rule("github_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])", _tail_crc),
     Rule("npm_token", ("npm_",), r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])", _tail_crc),
     Rule("aws_access_key", ("AKIA", "ASIA"), r"(?<![A-Z0-9])A[KS]IA[A-Z2-7]{16}(?![A-Za-z0-9])", _random(2.5)),
-    Rule("slack_token", ("xoxb-", "xoxp-", "xoxa-", "xoxs-", "xoxr-"), r"xox[bpasr]-[0-9]{8,}-[0-9A-Za-z-]{12,}", _random(3.0)),
+    Rule("slack_token", ("xoxb-", "xoxp-", "xoxa-", "xoxs-", "xoxr-"), r"xox[bpasr]-[0-9]{8,20}-[0-9A-Za-z-]{12,512}", _random(3.0)),
     Rule("stripe_key", ("sk_live_", "rk_live_", "sk_test_"), r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}", _random(3.0)),
     Rule("google_key", ("AIza",), r"AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])", _random(3.0)),
     Rule("private_key", ("-----BEGIN ",), r"-----BEGIN (?P<k>[A-Z ]{0,30}PRIVATE KEY)-----(?:[\sA-Za-z0-9+/=:,]|-(?!----))+-----END (?P=k)-----"),
