@@ -30,7 +30,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -217,10 +217,10 @@ def _passage_batches(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
 def _marks(rows: DataFrame, length: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """Documents with a recurring phrase (doc_id, text), written; and doc_id, marks of those with passages."""
-    chosen = rows.mapInArrow(_seed_batches(length, seed), "doc_id long, seed long")
-    by = Window.partitionBy("seed")
-    recurring = chosen.select("doc_id", "seed", F.min("doc_id").over(by).alias("a"), F.max("doc_id").over(by).alias("b")).where("a < b")
-    wanted = recurring.groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
+    chosen = written(rows.mapInArrow(_seed_batches(length, seed), "doc_id long, seed long"))
+    # a phrase of very many documents is counted before it is moved, and a join, unlike a window, may be split where one is frequent
+    recurring = chosen.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("seed")
+    wanted = chosen.join(recurring, "seed", "left_semi").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
     held = written(rows.join(wanted, "doc_id"))
     total = held.agg(F.sum(F.size("seeds"))).first()[0] or 0
     ranges = max(1, total * 13 // RANGE_RUNS)
