@@ -126,8 +126,9 @@ def test_failures(spark, world, transient, monkeypatch):
     v, source, put = world
     monkeypatch.setattr(E, "LONGEST_WAIT", 0.0)
     put([(1, "a", "good"), (2, "b", "bad"), (3, "c", "good too")])
-    E.register_embedder("failing", Failing(transient))
-    vid = v.create(source, C.loading_column("content"), C.EmbeddingLocal("failing", 3))
+    name = f"failing, {transient}"  # a name is registered once
+    E.register_embedder(name, Failing(transient))
+    vid = v.create(source, C.loading_column("content"), C.EmbeddingLocal(name, 3))
     done = v.run(vid)
     assert (done.embedded, done.retry, done.failed) == ((2, 1, 0) if transient else (2, 0, 1))
     assert v.queue_pending(vid) == int(transient)  # at least once: transient failures stay queued
