@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .frames import large_list, texts, written
+from .frames import discard, large_list, stored, texts, written
 from .textbytes import blocks, window_hashes, word_hashes
 
 LENGTH, SEED = 50, 25
@@ -215,13 +215,19 @@ def _passage_batches(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return out
 
 
-def _marks(rows: DataFrame, length: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Documents with a recurring phrase (doc_id, text), written; and doc_id, marks of those with passages."""
-    chosen = written(rows.mapInArrow(_seed_batches(length, seed), "doc_id long, seed long"))
+def _held(rows: DataFrame, length: int, seed: int) -> tuple[DataFrame, str]:
+    """Documents with a recurring phrase (doc_id, text, seeds), written; and the path of a table that is needed no more."""
+    chosen, path = stored(rows.mapInArrow(_seed_batches(length, seed), "doc_id long, seed long"))
     # a phrase of very many documents is counted before it is moved, and a join, unlike a window, may be split where one is frequent
     recurring = chosen.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("seed")
     wanted = chosen.join(recurring, "seed", "left_semi").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
-    held = written(rows.join(wanted, "doc_id"))
+    return written(rows.join(wanted, "doc_id")), path
+
+
+def _marks(rows: DataFrame, length: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Documents with a recurring phrase (doc_id, text), written; and doc_id, marks of those with passages."""
+    held, path = _held(rows, length, seed)
+    discard(rows.sparkSession, path)
     total = held.agg(F.sum(F.size("seeds"))).first()[0] or 0
     ranges = max(1, total * 13 // RANGE_RUNS)
     runs = held.mapInArrow(_run_batches(length, seed, ranges), "range long, load binary")
