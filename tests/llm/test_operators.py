@@ -600,6 +600,21 @@ def test_lm_very_long_texts(spark, awkward):
     assert got[1]["log_prob"] == pytest.approx(-math.log(3.0) + math.log(1 + 1e-6) + 59_999 * (math.log(1 + 1e-6) - math.log(2)), rel=1e-9)
 
 
+def test_lm_sorts_no_more_than_it_must(monkeypatch):
+    """Single words are asked for from the dictionary; keys that lie close together, or differ in low bits only, are sorted and told apart."""
+    h = np.random.default_rng(7).integers(1, 1 << 63, 12).astype(np.uint64)[np.arange(5000) % 12]
+    load = lm.Block.load_of(np.zeros((1, 2), np.int64), np.array([len(h)]), np.array([1]), h)
+    order, sizes = lm._order, []
+    monkeypatch.setattr(lm, "_order", lambda key: sizes.append(len(key)) or order(key))
+    (asked,) = lm._ask(lm.LEVELS[0], 1)(iter([pa.RecordBatch.from_arrays([pa.array([0]), pa.array([load], pa.binary())], ["block", "load"])]))
+    assert sum(sizes) <= 12 and asked.num_rows == 1
+    for key in ([], [5], [7, 3, 7, 2**64 - 1, 0, 3], [*range(2**63 + 40, 2**63, -1), 2**63 + 7, 1], np.tile(h, 2).tolist()):
+        key = np.array(key, np.uint64)
+        o, found, new = order(key)
+        assert o.tolist() == np.argsort(key, kind="stable").tolist() and found.tolist() == sorted(key.tolist())
+        assert new.tolist() == [i == 0 or found[i] != found[i - 1] for i in range(len(key))]
+
+
 def test_names():
     found = queries.queries()
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in found) == list(range(1, 11)) and set(queries.oracle_sql()) <= set(found)

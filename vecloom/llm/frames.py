@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import gc
 import shutil
 import tempfile
@@ -58,7 +60,7 @@ def stored(df: DataFrame, by: str | None = None) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     if by:
-        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).format("parquet").saveAsTable(_name(path))
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).option("compression", "none").format("parquet").saveAsTable(_name(path))
     else:
         df.write.parquet(path)
     files, where = _file_system(spark, path)
@@ -96,6 +98,14 @@ def large_list(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa
     return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(values, kind))
 
 
+@functools.cache
+def memory_kept(size: int = 64 << 20) -> None:
+    """Lets this process keep up to ``size`` bytes that it has freed, so that arrays as large as those before need no new pages; does nothing where the C library isn't glibc."""
+    if hasattr(c := ctypes.CDLL(None), "gnu_get_libc_version"):
+        c.mallopt(-3, size // 2)  # M_MMAP_THRESHOLD
+        c.mallopt(-1, size)  # M_TRIM_THRESHOLD
+
+
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays one after the other, each compressed by itself, in as few bytes a number as it needs."""
     z, parts = zstandard.ZstdCompressor(level=1), []
@@ -108,12 +118,13 @@ def packed(*arrays: np.ndarray) -> bytes:
     return b"".join(parts)
 
 
-def unpacked(load: memoryview) -> list[np.ndarray]:
-    """The arrays of :func:`packed`; whole numbers have 64 bits again."""
-    z, i, out = zstandard.ZstdDecompressor(), 0, []
+def unpacked(load: memoryview, plain: Sequence[int] = (), only: int | None = None) -> list[np.ndarray]:
+    """The arrays of :func:`packed`, or only one of them; whole numbers have 64 bits again, but for those of the arrays ``plain``."""
+    z, i, k, out = zstandard.ZstdDecompressor(), 0, 0, []
     while i < len(load):
         kind, size = np.dtype(bytes(load[i : i + 4]).decode().strip()), int.from_bytes(load[i + 4 : i + 8], "little")
-        x = np.frombuffer(z.decompress(load[i + 8 : i + 8 + size]), kind)
-        out.append(x if kind.kind == "f" else x.astype(np.uint64 if kind == np.uint64 else np.int64))
-        i += 8 + size
+        if only is None or k == only:
+            x = np.frombuffer(z.decompress(load[i + 8 : i + 8 + size]), kind)
+            out.append(x if kind.kind == "f" or k in plain else x.astype(np.uint64 if kind == np.uint64 else np.int64))
+        i, k = i + 8 + size, k + 1
     return out

@@ -7,7 +7,7 @@ word. The empty context occurs before every word of the other documents. Context
 
 A context's occurrences are counted in suffix arrays: sorted arrays of the corpus' contexts (as 64-bit hashes of a length and that many
 words), sharded by hash, so that all suffixes that agree in so many words are one range of one shard. A block of documents sends each of its
-contexts once, with its number, and is answered with the width of the range, found by binary search; what a document holds itself it subtracts.
+contexts once, with its number, and is answered with the width of the range, a run of the sorted array; what a document holds itself it subtracts.
 The longest matching context is found by a search over lengths. All words ask for 1; those matched for 2, at 2 for 3 and 4, at 4 for 8, 16 and 32, at 32
 for all powers of two up to the start; then the gaps are halved twice a round until the lengths are known to the word. A match is longer by one at most
 than that of the word before, so where one is known, those after it ask for no more than they can have.
@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import discard, packed, released, stored, texts, unpacked, written
+from .frames import discard, memory_kept, packed, released, stored, texts, unpacked, written
 from .textbytes import blocks, mix, word_hashes, _powers
 
 KAPPA, VOCABULARY = 1.0, 1_000_000
@@ -45,49 +45,78 @@ BLOCK_WORDS, SHARD_CONTEXTS = 300_000, 3_000_000
 #: Lengths that the first rounds ask for; the next asks for all further powers of two.
 LEVELS = ((1,), (2,), (3, 4), (8, 16, 32))
 _START = np.uint64(0x51A27B1E5E2C9D37)
+_STEP = 1 << 15
 _ANSWER = "block long, shard long, load binary"
 
 
-def _order(key: np.ndarray) -> np.ndarray:
-    """Indices that sort ``key``, equal ones by index."""
+def _order(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices that sort ``key``, equal ones by index; the sorted keys; which of them differ from the one before."""
     bits = np.uint64(max(len(key) - 1, 1).bit_length())
-    s = np.sort(key >> bits << bits | np.arange(len(key), dtype=np.uint64))
-    o = (s & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    least, most = (key.min(), key.max()) if len(key) else (np.uint64(0), np.uint64(0))
+    free = np.uint64(64 - max(int(most - least), 1).bit_length())
+    s = (key - least) << free if free else key.copy()  # keys that lie close together differ at the top, too
+    s >>= bits
+    s <<= bits
+    s |= np.arange(len(key), dtype=np.uint64)
+    s.sort()
+    o = (s & ((np.uint64(1) << bits) - np.uint64(1))).view(np.int64)
     found = key[o]
-    # where keys that differ in their low bits only got mixed up, sort them as they are
-    return np.argsort(key, kind="stable") if (found[1:] < found[:-1]).any() or ((s[1:] >> bits == s[:-1] >> bits) & (found[1:] != found[:-1])).any() else o
+    new = np.ones(len(key), bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    s >>= bits
+    mixed = np.flatnonzero((s[1:] == s[:-1]) & new[1:])
+    if len(mixed):  # keys that differ in their low bits only: sort their runs as they are
+        for high in np.unique(s[mixed]):
+            run = slice(np.searchsorted(s, high), np.searchsorted(s, high, "right"))
+            o[run] = o[run][np.argsort(found[run], kind="stable")]
+        found = key[o]
+        np.not_equal(found[1:], found[:-1], out=new[1:])
+    return o, found, new
+
+
+def _sizes(first: np.ndarray, n: int) -> np.ndarray:
+    """How long the runs are that begin at ``first``, of ``n`` in all."""
+    return np.diff(first, append=n)
 
 
 class Block:
     """Documents by their words, and how far the search has come. Of a document it has the stretches of words that are needed still."""
 
     #: key, words, weight, sum, context: of each document; at, of, start: where stretches begin among the words, their documents, and places there.
-    FIELDS = ("key", "words", "weight", "sum", "context", "at", "of", "start", "dictionary", "code", "size", "count", "done", "live", "top", "gap", "low", "high", "n_low", "n_high", "seen")
+    #: size, count: of each word's longest match so far; live: words of the next ladder; gap: words with an open gap; far: how long their matches can be.
+    FIELDS = ("key", "words", "weight", "sum", "context", "at", "of", "start", "dictionary", "code", "size", "count", "done", "live", "top", "far_live", "gap", "low", "high", "n_low", "n_high", "far", "seen")
+    _PLAIN = FIELDS.index("code"), FIELDS.index("done")
 
-    def __init__(self, load: memoryview) -> None:
-        self.__dict__.update(zip(self.FIELDS, unpacked(load)))
+    def __init__(self, load: memoryview, counts: bool = True) -> None:
+        """counts: whether those of single words are wanted, or only whether other documents hold them."""
+        self.__dict__.update(zip(self.FIELDS, unpacked(load, self._PLAIN)))
         self.key, self.dictionary = self.key.reshape(-1, 2), self.dictionary.astype(np.uint64)
-        self.code = self.code.reshape(3, -1).T @ np.array([1, 1 << 8, 1 << 16])
+        low, middle, top = self.code.reshape(3, -1)
+        self.code = top.astype(np.int64)
+        for plane in (middle, low):
+            self.code <<= 8
+            self.code |= plane
         self.live, self.gap = np.cumsum(self.live), np.cumsum(self.gap)
-        for name in ("size", "count", "done"):
-            setattr(self, name, getattr(self, name).copy())
+        self.done = self.done.copy()
         self._placed()
         if len(self.seen):
-            self._first()
+            self._first(counts)
 
-    def _first(self) -> None:
+    def _first(self, counts: bool) -> None:
         """What is known once the corpus' number of each word (``seen``) is: kept by word, not by place, as it takes less room."""
-        key = self.doc.astype(np.uint64) << np.uint64(24) | self.code.astype(np.uint64)
-        o = _order(key)
-        begins = np.flatnonzero(np.r_[True, key[o][1:] != key[o][:-1]])
-        size = np.diff(np.r_[begins, len(o)])
-        own = np.empty(len(o), np.int64)
-        own[o] = np.repeat(size, size)
         total = self.seen[self.code]
+        here = np.bincount(self.code, self.weight[self.doc], len(self.dictionary)).astype(np.int64)
+        # a word that other blocks hold too is in other documents, however often it is in this one
+        some = np.arange(len(total)) if counts else np.flatnonzero((self.seen == here)[self.code])
+        o, _, new = _order((self.doc[some] * len(self.dictionary) + self.code[some]).astype(np.uint64))
+        size = _sizes(np.flatnonzero(new), len(o))
+        own = np.zeros(len(total), np.int64)
+        own[some[o]] = np.repeat(size, size)
         self.size = (total > own).astype(np.int64)
         self.count = (total - own) * self.size
         self.live = np.flatnonzero(self.size)
         self.top, self.seen = total[self.live], self.seen[:0]
+        self.far_live = self.most(self._spent())[self.live]
 
     def _placed(self) -> None:
         n, long = len(self.code), np.diff(self.at)
@@ -96,38 +125,43 @@ class Block:
 
     @classmethod
     def load_of(cls, key: np.ndarray, lengths: np.ndarray, weight: np.ndarray, h: np.ndarray) -> bytes:
-        dictionary, code, often = np.unique(h, return_inverse=True, return_counts=True)
-        o = np.argsort(-often, kind="stable")
-        rank = np.empty(len(o), np.int64)
-        rank[o] = np.arange(len(o))
+        o, found, new = _order(h)
+        first = np.flatnonzero(new)
+        often = _sizes(first, len(h))
+        frequent = np.argsort(-often, kind="stable")
+        rank = np.empty(len(first), np.int64)
+        rank[frequent] = np.arange(len(first))
+        code = np.empty(len(h), np.int64)
+        code[o] = np.repeat(rank, often)
         n, docs, none = len(h), len(lengths), np.zeros(0, np.int64)
         zeros = np.zeros(n, np.int64)
         live = np.r_[0, np.ones(n - 1, np.int64)]
         of_docs = key.ravel(), lengths - 1, weight, np.zeros(docs), np.zeros(docs)
-        return packed(*of_docs, np.r_[0, np.cumsum(lengths)], np.arange(docs), np.zeros(docs, np.int64), dictionary[o], cls._bytes(rank[code]), zeros, zeros, zeros, live, *[none] * 7)
+        return packed(*of_docs, np.r_[0, np.cumsum(lengths)], np.arange(docs), np.zeros(docs, np.int64), found[first[frequent]], cls._bytes(code), zeros, zeros, zeros, live, *[none] * 9)
 
     @staticmethod
     def _bytes(code: np.ndarray) -> np.ndarray:
         """The low three bytes of each code, one after the other: only a text of more than 16 million different words needs more."""
         if len(code) and code.max() >> 24:
             raise ValueError("a text of more than 16 million different words")
-        return np.concatenate([code & 255, code >> 8 & 255, code >> 16])
+        return np.ascontiguousarray(code.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).ravel()
 
     def load(self) -> bytes:
         changed = {"key": self.key.ravel(), "code": self._bytes(self.code), "live": np.diff(self.live, prepend=0), "gap": np.diff(self.gap, prepend=0)}
         return packed(*[changed.get(k, getattr(self, k)) for k in self.FIELDS])
 
     def asked(self, levels: tuple[int, ...] | None) -> tuple[np.ndarray, np.ndarray]:
-        """Where the contexts end that this round asks for, and their lengths; by place in ladders, by gap afterwards."""
+        """Where the contexts end that this round asks for, and their lengths, 0 for none: rows of those of a level in ladders, of a quarter of each gap afterwards."""
         if levels is not None:
-            where, n = np.repeat(self.live, len(levels)), np.tile(np.asarray(levels, np.int64), len(self.live))
+            where, n, far = self.live, np.repeat(np.asarray(levels, np.int64)[:, None], len(self.live), 1), self.far_live
         else:
             step = self.high - self.low
-            n = np.stack([self.low + step * j // 4 for j in (1, 2, 3)], 1)
-            n[:, 1:][n[:, 1:] == n[:, :-1]] = 0
-            n[n <= self.low[:, None]] = 0
-            where, n = np.repeat(self.gap, 3), n.ravel()
-        return where, np.where(n <= self.most()[where], n, 0)
+            n = np.stack([self.low + step * j // 4 for j in (1, 2, 3)])
+            n[1:][n[1:] == n[:-1]] = 0
+            n[n <= self.low] = 0
+            where, far = self.gap, self.far
+        n[n > far] = 0
+        return np.broadcast_to(where, n.shape).ravel(), n.ravel()
 
     def _spent(self) -> np.ndarray:
         """Words that are scored and whose next word is, too."""
@@ -137,95 +171,134 @@ class Block:
         later[self.at[1:] - 1] = True  # what is no longer here is scored
         return done & later
 
-    def most(self) -> np.ndarray:
+    def most(self, spent: np.ndarray) -> np.ndarray:
         """The greatest length that each word's match can have still."""
-        bound = self.place + 1
-        known = ~self._spent()
+        known = ~spent
         known[self.live] = False
         known[self.gap] = False
-        bound[known] = self.size[known]
+        bound = np.where(known, self.size, self.place + 1)
         if len(self.gap):
             top = np.zeros(len(bound), np.int64)
             np.maximum.at(top, self.gap, self.high)
             top[self.live] = 0
-            bound = np.where(top > 0, np.minimum(bound, np.maximum(top - 1, self.size)), bound)
-        index = self.place + (self.doc << 32)
-        return np.minimum.accumulate(bound - index) + index
-
-    def counted(self, where: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct contexts (ascending), their weighted number in the block, of each asked one its rank among them and its number in its document."""
+            some = np.flatnonzero(top)
+            bound[some] = np.minimum(bound[some], np.maximum(top[some] - 1, self.size[some]))
+        index = self.doc << 32
+        index += self.place
+        bound -= index
+        np.minimum.accumulate(bound, out=bound)
+        bound += index
+        return bound
+
+    def sorted(self, where: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the contexts of ``n`` words that end at ``where``: their order, the sorted keys, and which of these differ from the one before."""
         h = self.dictionary[self.code]
         power, inverse = _powers(len(h) + 1)
         total = np.zeros(len(h) + 1, np.uint64)
         np.cumsum(h * power[: len(h)], out=total[1:])
-        begin = where + 1 - n
-        key = mix(mix((total[where + 1] - total[begin]) * inverse[begin]) + n.astype(np.uint64))
-        o = _order(key)
-        key, doc = key[o], self.doc[where[o]]
-        new = np.r_[True, key[1:] != key[:-1]] if len(o) else np.zeros(0, bool)
-        of_doc = np.flatnonzero(new | np.r_[True, doc[1:] != doc[:-1]]) if len(o) else np.zeros(0, np.int64)
-        size = np.diff(np.r_[of_doc, len(o)])
-        rank, own = np.empty(len(o), np.int64), np.empty(len(o), np.int64)
-        rank[o], own[o] = np.cumsum(new) - 1, np.repeat(size, size)
-        first = np.flatnonzero(new)
-        weight = np.add.reduceat(self.weight[doc], first) if len(o) else np.zeros(0, np.int64)
-        return key[first], weight, rank, own
+        key = np.empty(len(where), np.uint64)
+        for i in range(0, len(where), _STEP):  # in steps that stay in the processor's cache
+            end, size = where[i : i + _STEP] + 1, n[i : i + _STEP]
+            begin = end - size
+            x = total[end]
+            x -= total[begin]
+            x *= inverse[begin]
+            key[i : i + _STEP] = mix(mix(x) + size.astype(np.uint64))
+        return _order(key)
 
-    def learn(self, levels: tuple[int, ...] | None, before: int, then: bool, where: np.ndarray, n: np.ndarray, total: np.ndarray, own: np.ndarray) -> None:
-        """Takes the counts of what was asked: ``n`` 0 for what could not be. ``before``: the last level of the ladder before; ``then``: another one follows."""
-        if levels == LEVELS[0]:
-            self.seen = np.zeros(len(self.dictionary), np.int64)
-            self.seen[self.code[where]] = total
-            return
-        shared = total > own
-        better = np.flatnonzero(shared & (n > self.size[where]))
-        better = better[np.lexsort((n[better], where[better]))]
-        self.size[where[better]], self.count[where[better]] = n[better], (total - own)[better]  # of several the last, longest one stays
+    @staticmethod
+    def _words(dictionary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first round's contexts, single words, ascending, and their places in the dictionary."""
+        key = mix(mix(dictionary) + np.uint64(1))
+        o = np.argsort(key)
+        return key[o], o
+
+    def words_asked(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first round's contexts (ascending), and their weighted number in the block."""
+        key, o = self._words(self.dictionary)
+        return key, np.bincount(self.code, self.weight[self.doc], len(key)).astype(np.int64)[o]
+
+    @classmethod
+    def told(cls, load: memoryview, totals: np.ndarray) -> tuple[bytes, int]:
+        """The load of a block with the first round's answers, its other arrays as they are, and its number of words."""
+        dictionary, at = (unpacked(load, only=cls.FIELDS.index(k))[0] for k in ("dictionary", "at"))
+        _, o = cls._words(dictionary.astype(np.uint64))
+        seen = np.empty(len(totals), np.int64)
+        seen[o] = totals
+        return bytes(load[: -len(packed(seen[:0]))]) + packed(seen), int(at[-1])
+
+    def distinct(self, where: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct contexts (ascending) and their weighted number in the block."""
+        o, key, new = self.sorted(where, n)
+        first = np.flatnonzero(new)
+        if (self.weight == 1).all():
+            return key[first], _sizes(first, len(o))
+        return key[first], np.add.reduceat(self.weight[self.doc[where]][o], first) if len(o) else first
+
+    def shared(self, where: np.ndarray, n: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which contexts other documents hold too, their number in the corpus, and in other documents. totals: of each distinct context, ascending."""
+        o, _, new = self.sorted(where, n)
+        total = np.repeat(totals, _sizes(np.flatnonzero(new), len(o)))
+        some = np.flatnonzero(total > 1)  # what occurs once is in one document
+        o, total, new = o[some], total[some], new[some]
+        doc = self.doc.astype(np.int32)[where][o]
+        new[1:] |= doc[1:] != doc[:-1]
+        own = _sizes(np.flatnonzero(new), len(o))
+        others = total - np.repeat(own, own)
+        some = np.flatnonzero(others)
+        return o[some], total[some], others[some]
+
+    def learn(self, levels: tuple[int, ...] | None, before: int, then: bool, n: np.ndarray, total: np.ndarray, others: np.ndarray) -> None:
+        """Takes the counts of what was asked, in all and in other documents; 0 for what no other document holds. ``before``: the last level of the ladder before; ``then``: another one follows."""
+        width, known = (len(levels), self.live) if levels is not None else (3, self.gap)
+        n, total, others = (x.reshape(width, -1) for x in (n, total, others))
+        shared = others > 0
+        for n_, others_, shared_ in zip(n, others, shared):
+            better = np.flatnonzero(shared_)
+            better = better[n_[better] > self.size[known[better]]]
+            word, long = known[better], n_[better]
+            np.maximum.at(self.size, word, long)
+            best = np.flatnonzero(self.size[word] == long)
+            self.count[word[best]] = others_[better[best]]
+        gaps, bounds, place = ("gap", "low", "high", "n_low", "n_high"), [], self.place[known]
         if levels is not None:
-            width = len(levels)
-            n, total, shared = (x.reshape(-1, width) for x in (np.tile(np.asarray(levels, np.int64), len(self.live)), total, shared))
-            low = np.column_stack([np.full(len(n), before), n[:, :-1]])
-            n_low = np.column_stack([self.top if len(self.top) else np.zeros(len(n), np.int64), total[:, :-1]])
-            open_ = np.column_stack([np.full(len(n), before > 0), shared[:, :-1]])
-            at, high, n_high = np.repeat(self.live, width).reshape(-1, width), n, total
-            if not then and len(n):  # what matches at the last level has the next one, which no document reaches, above it
-                at, low, high = (np.column_stack([x, y]) for x, y in ((at, self.live), (low, n[:, -1]), (high, 2 * n[:, -1])))
-                n_low, n_high, open_ = (np.column_stack([x, y]) for x, y in ((n_low, total[:, -1]), (n_high, np.zeros(len(n), np.int64)), (open_, shared[:, -1])))
-            self.live, self.top = (self.live[shared[:, -1]], total[shared[:, -1], -1]) if then and len(n) else (self.live[:0], self.top[:0])
-            old = [getattr(self, k) for k in ("gap", "low", "high", "n_low", "n_high")]
+            none = np.zeros(len(known), np.int64)
+            # what matches at the last level has the next one, which no document reaches, above it
+            bounds = list(zip([before, *levels], [*levels, 2 * levels[-1]], [self.top, *total], [*total, none], [np.ones(len(known), bool), *shared]))
+            bounds = bounds[:-1] if then else bounds
+            old = [getattr(self, k) for k in gaps]
+            self.live, self.top = (self.live[shared[-1]], total[-1][shared[-1]]) if then else (self.live[:0], self.top[:0])
         else:
-            n, total, shared = (x.reshape(-1, 3) for x in (n, total, shared))
             # what could not be asked, as it is the one before or goes beyond the start, bounds no gap
-            n_all, t_all = [self.low], [self.n_low]
-            s_all = [np.ones(len(n), bool)]
+            at, t, s = self.low, self.n_low, np.ones(len(known), bool)
             step = self.high - self.low
             for j in range(3):
                 there = self.low + step * (j + 1) // 4
-                same = there == n_all[-1]
-                n_all.append(there)
-                t_all.append(np.where(same, t_all[-1], total[:, j]))
-                s_all.append(np.where(same, s_all[-1], shared[:, j]))
-            n_all.append(self.high)
-            t_all.append(self.n_high)
-            low, n_low, open_ = np.column_stack(n_all[:4]), np.column_stack(t_all[:4]), np.column_stack(s_all)
-            high, n_high = np.column_stack(n_all[1:]), np.column_stack(t_all[1:])
-            at = np.repeat(self.gap, 4).reshape(-1, 4)
-            old = [np.zeros(0, np.int64)] * 5
-        some = open_ & (high - low > 1) & (n_low != n_high) & (low <= self.place[at])
-        for k, old_, now in zip(("gap", "low", "high", "n_low", "n_high"), old, (at, low, high, n_low, n_high)):
-            setattr(self, k, np.r_[old_, now[some]])
+                same = there == at
+                t_, s_ = np.where(same, t, total[j]), np.where(same, s, shared[j])
+                bounds.append((at, there, t, t_, s))
+                at, t, s = there, t_, s_
+            bounds.append((at, self.high, t, self.n_high, s))
+            old = [self.gap[:0]] * 5
+        now = [[x] for x in old]
+        for low, high, n_low, n_high, open_ in bounds:
+            some = np.flatnonzero(open_ & (high - low > 1) & (n_low != n_high) & (low <= place))
+            for x, new in zip((known, low, high, n_low, n_high), now):
+                new.append(x[some] if np.ndim(x) else np.full(len(some), x))
+        for k, new in zip(gaps, now):
+            setattr(self, k, np.concatenate(new))
         self.close()
 
     def close(self) -> None:
         """Drops gaps that cannot hold a match: no longer one than their lower end is possible."""
-        still = self.low < self.most()[self.gap]
+        if not len(self.gap):
+            return
+        still = self.low < self.most(self._spent())[self.gap]
         for k in ("gap", "low", "high", "n_low", "n_high"):
             setattr(self, k, getattr(self, k)[still])
 
     def settle(self, words: int) -> None:
         """Scores the words whose context and own match are known, and forgets what is needed no more. words: of the corpus."""
-        if len(self.seen):
-            return
         n = len(self.code)
         known = np.ones(n, bool)
         known[self.live] = False
@@ -240,13 +313,16 @@ class Block:
         self.sum = self.sum + np.bincount(doc, logp, len(self.sum))
         self.context = self.context + np.bincount(doc, length, len(self.sum))
         self.done[i] = 1
-        most = self.most()
+        spent = self._spent()
+        most = self.most(spent)
+        size = self.size[self.live]
+        self.far = np.minimum(self.high, most[self.gap])
+        self.far_live = np.minimum(most[self.live], np.where(size < LEVELS[-1][-1], 8 * size, most[self.live]))  # the next level is 8 times as long at most
         reach = np.zeros(n + 1, np.int64)  # the words that open contexts reach
         for where, far in ((self.live, most[self.live]), (self.gap, np.minimum(self.high, most[self.gap]))):
             reach += np.bincount(where + 1 - far, minlength=n + 1)
             reach -= np.bincount(where + 1, minlength=n + 1)
         reached = np.cumsum(reach[:-1]) > 0
-        spent = self._spent()
         keep = reached | ~spent
         self.size[spent] = 0
         self.count[spent] = 0
@@ -308,11 +384,15 @@ def _ask(levels: tuple[int, ...] | None, shards: int) -> Callable[[Iterator[pa.R
     """shard, block, load: the distinct contexts of each block for each shard, and their numbers."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_kept()
         for batch in batches:
             for block, load in zip(batch.column(0).to_pylist(), batch.column(1)):
-                b = Block(memoryview(load.as_buffer()))
-                where, n = b.asked(levels)
-                key, weight, _, _ = b.counted(where[n > 0], n[n > 0])
+                b = Block(memoryview(load.as_buffer()), counts=False)
+                if levels == LEVELS[0]:
+                    key, weight = b.words_asked()
+                else:
+                    where, n = b.asked(levels)
+                    key, weight = b.distinct(where[n > 0], n[n > 0])
                 to = (key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
                 cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
                 ends = [*cut[1:], len(to)]
@@ -324,6 +404,7 @@ def _ask(levels: tuple[int, ...] | None, shards: int) -> Callable[[Iterator[pa.R
 
 def _answer(table: pa.Table) -> pa.Table:
     """The suffix array of a shard, and the width of each asked context's range in it."""
+    memory_kept()
     asked, weights = [], []
     for x in table["load"]:
         load = memoryview(x.as_buffer())
@@ -331,9 +412,11 @@ def _answer(table: pa.Table) -> pa.Table:
         asked.append(_from_planes(unpacked(load[8:n])[0]))
         weights.append(unpacked(load[n:])[0])
     every, weight = np.concatenate(asked), np.concatenate(weights)
-    o = np.argsort(every, kind="stable")
-    suffixes, upto = every[o], np.r_[0, np.cumsum(weight[o])]
-    loads = [packed(upto[np.searchsorted(suffixes, x, "right")] - upto[np.searchsorted(suffixes, x, "left")]) for x in asked]
+    o, _, new = _order(every)
+    first = np.flatnonzero(new)
+    width = np.empty(len(o), np.int64)
+    width[o] = np.repeat(np.add.reduceat(weight[o], first), _sizes(first, len(o)))
+    loads = [packed(x) for x in np.split(width, np.cumsum([len(x) for x in asked])[:-1])]
     return pa.table({"block": table["block"], "shard": table["shard"], "load": pa.array(loads, pa.binary())})
 
 
@@ -341,15 +424,21 @@ def _learn(levels: tuple[int, ...] | None, before: int, then: bool, words: int)
     """block, load, open (contexts still asked for) from a block and its answers."""
 
     def learn(state: pa.Table, answers: pa.Table) -> pa.Table:
-        b = Block(memoryview(state["load"][0].as_buffer()))
-        where, n = b.asked(levels)
-        ok = n > 0
-        _, _, rank, own = b.counted(where[ok], n[ok])
+        memory_kept()
+        load = memoryview(state["load"][0].as_buffer())
         parts = [unpacked(memoryview(answers["load"][int(k)].as_buffer()))[0] for k in np.argsort(answers["shard"].to_numpy())] if len(answers) else []
-        total, mine = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-        if parts:
-            total[ok], mine[ok] = np.concatenate(parts)[rank], own
-        b.learn(levels, before, then, where, n, total, mine)
+        totals = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        if levels == LEVELS[0]:
+            told, asks = Block.told(load, totals)
+            return pa.table({"block": state["block"], "load": pa.array([told], pa.binary()), "open": pa.array([3 * asks], pa.int64())})
+        b = Block(load)
+        where, n = b.asked(levels)
+        ok = np.flatnonzero(n)
+        at, *counts = b.shared(where[ok], n[ok], totals)
+        total, others = np.zeros((2, len(n)), np.int64)
+        at = ok[at]
+        total[at], others[at] = counts
+        b.learn(levels, before, then, n, total, others)
         b.settle(words)
         return pa.table({"block": state["block"], "load": pa.array([b.load()], pa.binary()), "open": pa.array([3 * (len(b.live) + len(b.gap))], pa.int64())})
 
